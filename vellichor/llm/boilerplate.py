@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vellichor.llm.encoding import readings
 from vellichor.llm.residue import ResidueModel, ResidueScorer, fit, fold
 
 # Words of menus, by language.
@@ -162,6 +163,10 @@ def build_tree(body: str) -> Node:
     return root
 
 
+def _kind(line: str) -> int:
+    return 2 if is_teaser_head(line) else int(looks_like_furniture(line))
+
+
 class Visibility:
     """The rules of one worker; remembers lines, as furniture recurs."""
 
@@ -169,12 +174,15 @@ class Visibility:
         self.memo: dict[str, int] = {}
 
     def kind(self, line: str) -> int:
-        """2: head of a teaser list, 1: furniture, 0: neither."""
+        """2: head of a teaser list, 1: furniture, 0: neither. A line that may be garbled is also judged by what it may have been."""
         known = self.memo.get(line)
         if known is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            known = self.memo[line] = 2 if is_teaser_head(line) else int(looks_like_furniture(line))
+            known = _kind(line)
+            if not known and len(line) < 200 and not line.isascii() and not _SENTENCE_END.search(line):
+                known = max(map(_kind, readings(line)), default=0)
+            self.memo[line] = known
         return known
 
     def menu_list(self, node: Node) -> bool:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellichor.llm import boilerplate, bpe, canonical, mixing, residue
+from vellichor.llm import boilerplate, bpe, canonical, encoding, mixing, residue
 from vellichor.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def p2_version_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_columns(read_table(spark, folder, "versions"), ["version_id"], ["content_blob"]).dropDuplicates(["version_id"])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_records(read_table(spark, folder, "documents"), read_table(spark, folder, "versions"))
+
+
+def p3_regained(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.regained_records(read_table(spark, folder, "documents"), read_table(spark, folder, "versions"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_versions(read_table(spark, folder, "versions"))
 
@@ -49,7 +57,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p4_found, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p6_ids, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
