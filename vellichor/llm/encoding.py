@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 PAIR_BITS = 20
 CHAR_BITS = 16
 PRIOR = 0.05
-#: Mutual information below which a pair is improbable, and the share of all pairs below which it is rare.
+#: Mutual information below which a pair is improbable unless it has the common share of all pairs, and the share below which it is rare.
 LOW_INFORMATION = -1.0
-RARE_SHARE = 1e-6
+RARE_SHARE = 1e-5
+COMMON_SHARE = 1e-4
 #: Gain in mean log count of its pairs that an inverse mapping must bring, in nats.
 GAIN = 1.5
 # Encodings that texts are read under by mistake, with the ones they may have been written in.
@@ -62,14 +63,18 @@ def _encoder(name: str):
 
 @lru_cache(maxsize=1)
 def _misread_utf8() -> re.Pattern:
-    """Two sequences that look like UTF-8 bytes shown one by one, by the rule of UTF-8 and each one-byte encoding."""
-    forms = []
-    for name in ("latin_1", "cp1252", "mac_roman", "cp437", "cp1251", "cp850"):
-        show = lambda a, b: "[" + "".join(re.escape(c) for c in bytes(range(a, b + 1)).decode(name, "ignore") if c not in "\xa0") + "]"  # noqa: B023, E731
-        tail = show(0x80, 0xBF)
-        forms += [show(0xC2, 0xDF) + tail, show(0xE0, 0xEF) + tail + "{2}", show(0xF0, 0xF4) + tail + "{3}"]
-    one = "(?:" + "|".join(forms) + ")"
-    return re.compile(f"{one}.{{0,12}}{one}")
+    """Sequences that look like UTF-8 bytes shown one by one, by the rule of UTF-8 and each one-byte encoding: one long one, one short one that ends in a symbol, or two short ones."""
+    short, symbol, long = [], [], []
+    for name in ("latin_1", "cp1252", "cp437", "cp850", "cp1251", "mac_roman"):
+        shown = lambda a, b: [c for c in bytes(range(a, b + 1)).decode(name, "ignore") if c != "\xa0"]  # noqa: B023, E731
+        group = lambda chars: "[" + "".join(map(re.escape, chars)) + "]"
+        tail = shown(0x80, 0xBF)
+        short.append(group(shown(0xC2, 0xDF)) + group(tail))
+        long += [group(shown(0xE0, 0xEF)) + group(tail) + "{2}", group(shown(0xF0, 0xF4)) + group(tail) + "{3}"]
+        if name != "mac_roman":  # its leading bytes show as dashes and quotes, which stand before letters anyway
+            symbol.append(group(shown(0xC2, 0xDF)) + group([c for c in tail if not c.isalpha() and c not in "”’»…—–“‘"]))
+    two = "(?:" + "|".join(short) + ")"
+    return re.compile("|".join([*long, *symbol, f"{two}.{{0,12}}{two}"]))
 
 
 def unsure(text: str) -> bool:
@@ -148,7 +153,7 @@ class PairModel:
             n = self.pairs[buckets(chars)[wide]]
             floor = np.sqrt(self.total)
             info = np.log((n + PRIOR) * self.total / (np.maximum(self.chars[left], floor) * np.maximum(self.chars[right], floor)))
-            bad = (info < LOW_INFORMATION) | (n < RARE_SHARE * self.total)
+            bad = ((info < LOW_INFORMATION) & (n < COMMON_SHARE * self.total)) | (n < RARE_SHARE * self.total)
             out[wide] = np.where(bad, 1.0, -0.7)
         return out
 
@@ -160,7 +165,8 @@ class PairModel:
         return float(np.log(self.pairs[buckets(c)[wide]] + PRIOR).mean())
 
 
-def _inverse(run: str, model: PairModel, base: float) -> str | None:
+def _inverse(run: str, model: PairModel, base: float, left: str, right_: str) -> str | None:
+    best, most = None, base + GAIN
     for wrong, candidates in MISREADINGS.items():
         try:
             raw = _encoder(wrong)(run)
@@ -175,9 +181,9 @@ def _inverse(run: str, model: PairModel, base: float) -> str | None:
                 plain = raw.decode(right)
             except UnicodeDecodeError:
                 continue
-            if plain != run and not _C1.search(plain) and model.familiarity(plain) > base + GAIN:
-                return plain
-    return None
+            if plain != run and not _C1.search(plain) and (gain := model.familiarity(left + plain + right_)) > most:
+                best, most = plain, gain
+    return best
 
 
 def readings(line: str) -> Iterator[str]:
@@ -195,12 +201,13 @@ def readings(line: str) -> Iterator[str]:
                 continue
 
 
-def _broken_utf8(run: str) -> bool:
-    """Mostly whole UTF-8 sequences, but some bytes are lost."""
+def _broken_utf8(run: str, model: PairModel) -> bool:
+    """Mostly whole UTF-8 sequences that read far likelier, but some bytes are lost."""
+    base = model.familiarity(run)
     for wrong in ("cp1252", "mac_roman", "cp437", "cp1251", "gbk"):
         plain = _encoder(wrong)(run, "ignore").decode("utf-8", "replace")
         whole = sum(c > "\x7f" for c in plain) - plain.count("�")
-        if whole >= 4 and whole > 1.5 * plain.count("�") and any(c > "˿" for c in plain):
+        if whole >= 4 and whole > 1.5 * plain.count("�") and model.familiarity(plain.replace("�", "")) > base + GAIN:
             return True
     return False
 
@@ -253,46 +260,43 @@ class Ungarbler:
                 start -= 1
             while end < len(plain) and plain[end] > "\x7f":
                 end += 1
-            bad, fixed = self.judge(plain[start:end])
+            bad, fixed = self.judge(plain[start:end], plain[start - 1 : start] if start else "", plain[end : end + 1])
             found |= bad
             if fixed is not None:
                 out = out[: start + shift] + fixed + out[end + shift :]
                 shift += len(fixed) - (end - start)
         return found, out
 
-    def judge(self, run: str) -> tuple[bool, str | None]:
-        """Whether a run is garbled, and its original; remembered, as words recur."""
-        known = self.memo.get(run)
+    def judge(self, run: str, left: str = "", right: str = "") -> tuple[bool, str | None]:
+        """Whether a run between two characters is garbled, and its original; remembered, as words recur."""
+        key = f"{left}\0{run}\0{right}"
+        known = self.memo.get(key)
         if known is None:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            fixed = self.repair(run)
-            known = self.memo[run] = (fixed is not None or bool(_C1.search(run)) or _broken_utf8(run), fixed)
+            fixed = self.repair(run, left, right)
+            known = self.memo[key] = (fixed is not None or bool(_C1.search(run)) or _broken_utf8(run, self.model), fixed)
         return known
 
-    def repair(self, run: str) -> str | None:
+    def repair(self, run: str, left: str = "", right: str = "") -> str | None:
         """The original of a run through one or two inverse mappings, or null."""
         if len(run) < 2:
             return None
-        base = self.model.familiarity(run)
+        base = self.model.familiarity(left + run + right)
         if base > self.model.typical:
             return None
-        once = _inverse(run, self.model, base)
-        if once is None:
-            return self._twice(run)
-        return self._twice(once) or once
+        once = _inverse(run, self.model, base, left, right)
+        return self._twice(run if once is None else once, base, left, right) or once
 
-    def _twice(self, run: str) -> str | None:
+    def _twice(self, run: str, base: float, left: str, right: str) -> str | None:
         """Text that was misread two times."""
         for wrong in ("cp1252", "mac_roman", "cp437", "cp1251"):
             try:
                 middle = _encoder(wrong)(run).decode("utf-8")
             except (UnicodeError, ValueError):
                 continue
-            if middle != run and not middle.isascii():
-                again = _inverse(middle, self.model, self.model.familiarity(run))
-                if again is not None:
-                    return again
+            if middle != run and not middle.isascii() and (again := _inverse(middle, self.model, base, left, right)) is not None:
+                return again
         return None
 
     def is_garbled(self, text: str | None) -> bool:
