@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellichor.llm import boilerplate, bpe, canonical, encoding, mixing, residue
+from vellichor.llm import boilerplate, bpe, canonical, encoding, mixing, neardup, residue
 from vellichor.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_versions(read_table(spark, folder, "versions"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, folder, "versions"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, folder, "documents"))
 
@@ -57,7 +61,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p5_found, p6_ids, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
