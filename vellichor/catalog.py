@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from vellichor.plans import evidence, inventory, ledger
+
+_THEMES = (ledger, inventory, evidence)
+
 
 def queries() -> dict:
-    return {}
+    return {query.__name__: query for theme in _THEMES for query in theme.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for theme in _THEMES for name, sql in theme.ORACLE.items()}
