@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellichor.llm import boilerplate, bpe, canonical, encoding, mixing, neardup, residue
+from vellichor.llm import boilerplate, bpe, canonical, encoding, mixing, neardup, pii, residue
 from vellichor.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal(read_table(spark, folder, "documents"))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact_texts(read_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p5_found, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
