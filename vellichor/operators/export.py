@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellichor.functions.text import http_date
+from vellichor.session import spread
 
 
 def memento_uri(document: str = "document_id", version: str = "version_id") -> Column:
@@ -83,7 +84,7 @@ def version_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
             p = p.assign(diff=[unified_diff(o, n, i, j, context) for o, n, i, j in zip(p.old_body, p.new_body, p.old_id, p.new_id)])
             yield p[["old_id", "new_id", "diff"]]
 
-    return pairs.select("old_id", "new_id", "old_body", "new_body").mapInPandas(run, "old_id string, new_id string, diff string")
+    return spread(pairs.select("old_id", "new_id", "old_body", "new_body"), "new_id").mapInPandas(run, "old_id string, new_id string, diff string")
 
 
 def consecutive(versions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellichor.functions import matching
 from vellichor.operators.inventory import STATES
+from vellichor.session import spread
 
 VERDICT = "anchor_id string, state string, match_score double, edit_distance int, found_offset int, found_text string, truncated boolean"
 
@@ -48,7 +49,7 @@ def verify(anchors: DataFrame, texts: DataFrame) -> DataFrame:
     done = staged.filter("state is not null").select(
         "anchor_id", "state", F.lit(1.0).alias("match_score"), F.lit(0).alias("edit_distance"), "found_offset", F.col("exact").alias("found_text"), F.lit(False).alias("truncated")
     )
-    open_ = staged.filter("state is null").select("anchor_id", "exact", "prefix", "suffix", "position_hint", "body").repartition("anchor_id")
+    open_ = spread(staged.filter("state is null").select("anchor_id", "exact", "prefix", "suffix", "position_hint", "body"), "anchor_id")
     return done.unionByName(open_.mapInPandas(_judge, VERDICT))
 
 
