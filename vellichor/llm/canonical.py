@@ -80,7 +80,7 @@ def run_duckdb(df: DataFrame, sql: str, schema: T.StructType | str) -> DataFrame
             for start in range(0, batch.num_rows, 1024):
                 part = pa.Table.from_batches([batch.slice(start, 1024)])
                 connection.register("part", part)
-                yield from connection.execute(sql).to_arrow_table().to_batches()
+                yield from connection.sql(sql).to_arrow_table().to_batches()
                 connection.unregister("part")
 
     return df.mapInArrow(run, schema)

@@ -55,7 +55,10 @@ def settle(text: str, tagged: list[Span]) -> list[Span]:
             elif _EAST.match(text[a:b]):
                 out[(a, b, "person")] = None
     kept: list[Span] = []
-    for span in sorted(out, key=lambda s: (s[0] - s[1], s)):
+    for span in sorted(out, key=lambda s: (s[2] == "person", s[0] - s[1], s)):
+        if span[2] == "person":  # an initial may be the end of a number before it
+            start = max([y for x, y, _ in kept if x <= span[0] < y], default=span[0])
+            span = (start + len(text[start : span[1]]) - len(text[start : span[1]].lstrip(" .,;:")), *span[1:])
         if all(span[1] <= x or span[0] >= y for x, y, _ in kept):
             kept.append(span)
     return sorted(kept)

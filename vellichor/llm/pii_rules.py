@@ -40,7 +40,7 @@ _ADDRESS = "|".join(
 )
 _PARTICLE = r"(?:van der|van den|van|von der|von|de la|de|del|da|di|der|du|la|le|ten|bin|al)"
 _PART = rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})"
-_LATIN_NAME = rf"{_PART}(?:,? (?:{_PARTICLE} {_CAP}|{_PART})){{1,3}}"
+_LATIN_NAME = rf"(?:{_PARTICLE} )?{_PART}(?:,? (?:{_PARTICLE} {_CAP}|{_PART})){{1,3}}"
 _EAST_NAME = r"(?:[가-힣]{2,6}|[一-鿿぀-ヿ]{2,7})"
 #: Phrases around a name, with the name as the only group.
 _NAMED = [

@@ -34,8 +34,9 @@ FIT_UNLABELLED = 2500
 EM_ROUNDS = 3
 TRUSTED_CHARS = 320
 TRUSTED_SHARE = 0.25
-RESIDUE_SHARE = 0.5
+RESIDUE_SHARE = 0.4
 WEIGHT_LIMIT = 5.0
+CONTENT_LIMIT = 2.0  # a word of the corpus's own subject says less against a notice than the notice's words say for it
 RARE = 4.0  # tokens seen about this often weigh half
 MEMO_ENTRIES = 200_000
 
@@ -187,7 +188,7 @@ def fit_passages(trusted: list[frozenset[str]], unlabelled: list[frozenset[str]]
             in_pos, in_neg = positive[t] + soft[t], max(0.0, every[t] - soft[t])
             ratio = math.log((in_pos + 0.3) / (n_pos + 1)) - math.log((in_neg + 0.3) / (n_neg + 1))
             seen = positive[t] + every[t]
-            weights[t] = max(-WEIGHT_LIMIT, min(WEIGHT_LIMIT, ratio)) * seen / (seen + RARE)
+            weights[t] = max(-WEIGHT_LIMIT if t.startswith("§") else -CONTENT_LIMIT, min(WEIGHT_LIMIT, ratio)) * seen / (seen + RARE)
         model = ResidueModel(math.log(n_pos / n_neg), weights)
         posterior = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.score(p))))) if o else 0.0 for p, o in zip(unlabelled, open_)]
     return model
