@@ -8,8 +8,8 @@ classes with the unlabelled passages weighted by their posterior. Every body is
 then scored passage by passage, and the record decision follows from the share
 of its own text that is residue, or from one unfilled marker.
 
-The model is fitted on bounded samples (``FIT_TRUSTED`` and ``FIT_UNLABELLED``
-rows, the ones with the least hash); scoring covers every body whole.
+The model is fitted on bounded samples by hash (``FIT_SOUGHT``, ``FIT_TRUSTED``
+and ``FIT_UNLABELLED`` rows); scoring covers every body whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from vellichor.llm.canonical import mappings
 
+FIT_SOUGHT = 60_000
 FIT_TRUSTED = 2500
 FIT_UNLABELLED = 2500
 EM_ROUNDS = 3
@@ -201,12 +202,26 @@ def _trusted_rows(versions: DataFrame) -> DataFrame:
     return versions.filter((short & F.lower("content_blob").rlike(cue)) | F.col("content_blob").rlike(marker))
 
 
+def _below(rows: int, total: int) -> int:
+    """Hash threshold under which about ``rows`` of ``total`` rows lie."""
+    return (1 << 62) if rows >= total else int((1 << 62) * (rows / total))
+
+
 def fit(versions: DataFrame) -> ResidueModel:
-    """Fit on the least-hashed ``FIT_TRUSTED`` candidate rows and ``FIT_UNLABELLED`` other rows. Without trusted records nothing is residue."""
-    body = versions.select(F.xxhash64("version_id").alias("h"), "content_blob").filter("content_blob is not null")
-    likely = [r.content_blob for r in _trusted_rows(body).orderBy("h").limit(FIT_TRUSTED).collect()]
-    others = [r.content_blob for r in body.orderBy("h").limit(FIT_UNLABELLED).collect()]
-    return fit_bodies(list(dict.fromkeys([*likely, *others])))
+    """Fit on bounded samples by hash; without trusted records nothing is residue.
+
+    Trusted records are sought among about ``FIT_SOUGHT`` rows and the first
+    ``FIT_TRUSTED`` of them by hash are taken, beside about ``FIT_UNLABELLED``
+    other rows. Thresholds keep what the driver gets bounded at any size.
+    """
+    total = versions.count()
+    body = versions.select(F.xxhash64("version_id").bitwiseAND(F.lit((1 << 62) - 1)).alias("h"), "content_blob").filter("content_blob is not null")
+    sought = _trusted_rows(body.filter(F.col("h") < _below(FIT_SOUGHT, total)))
+    hashes = sorted(r.h for r in sought.select("h").distinct().collect())
+    bound = hashes[FIT_TRUSTED] if len(hashes) > FIT_TRUSTED else 1 << 62
+    likely = [r.content_blob for r in sought.filter(F.col("h") < bound).collect()]
+    others = [r.content_blob for r in body.filter(F.col("h") < _below(FIT_UNLABELLED, total)).collect()]
+    return fit_bodies(sorted({*likely, *others}))
 
 
 def fit_bodies(bodies: list[str]) -> ResidueModel:
