@@ -158,6 +158,13 @@ _TWINS = f"""{_V}, twins AS (SELECT text_hash, source, count(DISTINCT document_i
 _URI = "CASE WHEN source = 'archive' AND source_uri IS NOT NULL THEN source_uri ELSE 'evidence://' || document_id || '/' || version_id END"
 _WORDLESS = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3001}-\x{301F}]"
 _RATIO = "CASE WHEN coverage.basis = 'whole-document' THEN 1.0 WHEN coverage.basis = 'html-prose' AND coverage.prose_chars > 0 THEN coverage.captured_chars / coverage.prose_chars END"
+
+
+def _escaped(column: str) -> str:
+    """The SQL form of a column safe in HTML."""
+    return f"""replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
 ORACLE = {
     "classify_observations": f"WITH {_CLASSIFY} SELECT document_id, seq, outcome, raw_changed FROM r",
     "outcome_counts": f"WITH {_CLASSIFY} SELECT outcome, count(*) AS n, count(*) FILTER (raw_changed) AS raw_changed FROM r GROUP BY outcome",
@@ -189,6 +196,15 @@ ORACLE = {
             || strftime(captured_at AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S GMT') || '"' AS line FROM m)
         SELECT document_id, '<' || coalesce(any_value(original_url), '') || '>; rel="original",' || chr(10) || '<evidence://' || document_id || '/timemap>; rel="self"; type="application/link-format",' || chr(10)
             || string_agg(line, ',' || chr(10) ORDER BY place) AS timemap FROM l GROUP BY document_id""",
+    "timemap_json": f"""WITH {_V}, m AS (SELECT document_id, original_url, row_number() OVER (PARTITION BY document_id ORDER BY captured_at, version_id) AS place,
+            strftime(captured_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp, {_URI} AS uri FROM v JOIN (SELECT document_id, original_url FROM documents) d USING (document_id))
+        SELECT document_id, CAST(to_json({{'original_uri': any_value(original_url), 'mementos': {{'list': list({{'datetime': stamp, 'uri': uri}} ORDER BY place)}}}}) AS VARCHAR) AS timemap FROM m GROUP BY document_id""",
+    "robust_links": rf"""WITH a AS (SELECT DISTINCT anchor_id, document_id, created_version, exact, cited_url FROM anchors), {_V},
+        l AS (SELECT a.anchor_id, coalesce(nullif(cited_url, ''), original_url, '') AS href, strftime(captured_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, coalesce(exact, '') AS quote,
+            CASE WHEN v.source = 'archive' AND source_uri IS NOT NULL THEN source_uri ELSE 'evidence://' || a.document_id || '/' || version_id END AS uri
+            FROM a JOIN documents d ON d.document_id = a.document_id JOIN v ON v.version_id = a.created_version)
+        SELECT anchor_id, '<a href="' || {_escaped("href")} || '" data-versionurl="' || {_escaped("uri")} || '" data-versiondate="' || day || '">' || {_escaped("quote")} || '</a>' AS html,
+            '[' || regexp_replace(quote, '([\\\[\]*_`])', '\\\1', 'g') || '](' || href || ') ([archived](' || uri || '), ' || day || ')' AS markdown FROM l""",
     "canonical_urls_plain": r"""WITH u AS (SELECT document_id, regexp_replace(trim(original_url), '#.*$', '') AS u FROM documents),
         p AS (SELECT document_id, lower(regexp_extract(u, '(?i)^(https?)://', 1)) AS s, lower(regexp_extract(u, '(?i)^https?://([^/:?]+)', 1)) AS h, regexp_extract(u, '(?i)^https?://[^/:?]+(:[0-9]+)', 1) AS port,
             regexp_extract(u, '(?i)^https?://[^/?]+(/[^?]*)', 1) AS path, regexp_extract(u, '\?(.*)$', 1) AS q FROM u),
