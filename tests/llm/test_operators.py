@@ -98,3 +98,19 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_query_equals_sql(spark, name):
     got, wanted = both(spark, connect(FOLDER), catalog.queries()[name], catalog.oracle_sql()[name], FOLDER)
     assert got == wanted and got
+
+
+def test_near_duplicates_with_scattered_edits(spark):
+    rng = random.Random(10)
+    texts = {}
+    for f in range(60):
+        base = [rng.choice("abcdefghijklmnop") for _ in range(rng.choice((420, 900)))]
+        texts[f"{f}-0"] = "".join(base)
+        for i in range(rng.randrange(33), len(base), 34):
+            base[i] = rng.choice("QRST")
+        texts[f"{f}-1"] = "".join(base)
+    sets = {k: {t[i : i + 8] for i in range(len(t) - 7)} for k, t in texts.items()}
+    wanted = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    rows = [(k, t, "d", None, None) for k, t in texts.items()]
+    got = {(r.version_id_a, r.version_id_b) for r in neardup.near_duplicates(spark.createDataFrame(rows, VERSIONS)).collect()}
+    assert len(wanted) > 40 and got == wanted
