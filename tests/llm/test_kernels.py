@@ -188,3 +188,11 @@ def test_fold_and_rules():
     assert residue.fold(unicodedata.normalize("NFD", "é")) == "é"
     assert pii_rules.labels("Dr. Anaïs Ibarrondel said so.") == [(4, 20, "person")]
     assert pii_rules.labels("call 020 7946 0325 now") == [(5, 18, "phone")]
+
+
+def test_names_in_cyrillic():
+    text = "Ответственный: Снежана Туманцевский, адрес: ул. Речная, д. 4."
+    (spans,) = pii.find_in_texts([text])
+    assert ("Снежана Туманцевский", "person") in {(text[a:b], k) for a, b, k in spans}
+    assert pii.settle("пишет Снежана Туманцевский.", [(6, 26, "person")]) == [(6, 26, "person")]
+    assert pii.settle("η Ελένη Παππά", [(2, 13, "person")]) == [(2, 13, "person")]

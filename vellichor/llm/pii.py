@@ -17,7 +17,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 #: Characters on either side of a tagged run within which its exact form is sought.
 REACH = 90
 _TITLE = re.compile(r"^(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|M)\.? (?=\S+ )")
-_EAST = re.compile(r"^[가-힣぀-ヿ一-鿿]{2,}$")
+_CYRILLIC = re.compile(r"[Ѐ-Я]")
 
 Span = tuple[int, int, str]
 
@@ -31,8 +31,8 @@ def settle(text: str, tagged: list[Span]) -> list[Span]:
     """The exact check: each tagged run becomes the whole mention it lies in.
 
     All but names must have an exact form around the run. A name takes the form
-    of its telling phrase, else of capitalised parts, or stays as tagged in East
-    Asian scripts. Runs that hold a part of a mention merge into it.
+    of its telling phrase, else of capitalised parts, or stays as tagged in
+    other scripts. Runs that hold a part of a mention merge into it.
     """
     out: dict[Span, None] = {}
     for a, b, kind in tagged:
@@ -52,7 +52,7 @@ def settle(text: str, tagged: list[Span]) -> list[Span]:
                 if m := _TITLE.match(text[x:y]):
                     x += m.end()
                 out[(x, y, "person")] = None
-            elif _EAST.match(text[a:b]):
+            elif sum(map(str.isalpha, text[a:b])) > 1:
                 out[(a, b, "person")] = None
     kept: list[Span] = []
     for span in sorted(out, key=lambda s: (s[2] == "person", s[0] - s[1], s)):
@@ -71,8 +71,11 @@ def find_in_texts(texts: list[str | None], model: tagger.Tagger | None = None) -
     tags = tagger.tag_texts(model, [tagger.encode(texts[i]) for i in some])
     out: list[list[Span]] = [[] for _ in texts]
     for i, t in zip(some, tags):
-        if t.any():
-            out[i] = settle(texts[i], tagger.spans_of(t))
+        tagged = tagger.spans_of(t)
+        if _CYRILLIC.search(texts[i]):  # the tagger was fitted without names in Cyrillic; telling phrases give them
+            tagged += [s for s in pii_rules.named(texts[i]) if _CYRILLIC.search(texts[i], s[0], s[1])]
+        if tagged:
+            out[i] = settle(texts[i], tagged)
     return out
 
 

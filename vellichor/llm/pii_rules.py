@@ -23,7 +23,7 @@ _PHONE = (
     r")(?![\d-])" + _EXT
 )
 _ID = r"(?<![A-Za-z0-9_-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{8,9}|\d{6}-\d{7}|\d{17}[\dXx]|\d{3}-\d{2}-\d{4}|\d{3} \d{3} \d{3}|\d{9})(?![A-Za-z0-9_-])"
-_CAP = r"[A-ZÀ-ÖØ-Þ][\w’'ʼ-]*"
+_CAP = r"[A-ZÀ-ÖØ-ÞЀ-Я][\w’'ʼ-]*"
 _TOWN = rf"{_CAP}(?: {_CAP}){{0,1}}"
 _KIND = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Terrace|Close|Drive|Dr\.?|Hill|Row|Boulevard|Blvd\.?|Avenue|Ave\.?|Way|Court|Ct\.?|Place|Pl\.?|Square|Crescent|Walk|Gardens|Quay|Mews|Parade)"
 _ADDRESS = "|".join(
@@ -39,7 +39,7 @@ _ADDRESS = "|".join(
     ]
 )
 _PARTICLE = r"(?:van der|van den|van|von der|von|de la|de|del|da|di|der|du|la|le|ten|bin|al)"
-_PART = rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})"
+_PART = rf"(?:[A-ZÀ-ÖØ-ÞЀ-Я]\.|{_CAP})"
 _LATIN_NAME = rf"(?:{_PARTICLE} )?{_PART}(?:,? (?:{_PARTICLE} {_CAP}|{_PART})){{1,3}}"
 _EAST_NAME = r"(?:[가-힣]{2,6}|[一-鿿぀-ヿ]{2,7})"
 #: Phrases around a name, with the name as the only group.
