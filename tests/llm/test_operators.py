@@ -114,3 +114,12 @@ def test_near_duplicates_with_scattered_edits(spark):
     rows = [(k, t, "d", None, None) for k, t in texts.items()]
     got = {(r.version_id_a, r.version_id_b) for r in neardup.near_duplicates(spark.createDataFrame(rows, VERSIONS)).collect()}
     assert len(wanted) > 40 and got == wanted
+
+
+def test_mix_of_whole_corpus(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, "a" if i else "b", None, None, None) for i in range(200)], DOCS)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    _, report = mixing.mix_sources(docs, targets, whole=True)
+    shares = {r.source: r for r in report.collect()}
+    assert shares["b"].reached_tokens == 3 * shares["b"].available_tokens < shares["b"].wanted_tokens
+    assert abs(shares["a"].reached_tokens - shares["a"].wanted_tokens) <= 60

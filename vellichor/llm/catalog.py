@@ -53,11 +53,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[0]
+    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), whole=True)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
+    return mixing.mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), whole=True)[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

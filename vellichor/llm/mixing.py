@@ -48,18 +48,21 @@ def _targets(targets: DataFrame) -> list[SourcePlan]:
     return [SourcePlan(r.source, max(0.0, r.target_share or 0.0), max(0, r.max_repeats if r.max_repeats is not None else 1)) for r in sorted(rows, key=lambda r: r.source or "") if r.source is not None]
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[SourcePlan]:
+def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, whole: bool = False) -> list[SourcePlan]:
     """Thresholds per source for rows ``(source, h, n_tokens)``.
 
     ``total_tokens`` is the size of the mix. By default it is the largest size at
     which every source that has tokens reaches its share within its repeats.
     With a larger given size a source that is too small gives all its repeats
-    and falls short; the report shows it.
+    and falls short; the report shows it. ``whole`` takes all tokens of the target
+    sources as the size.
     """
     plans = _targets(targets)
     sums = {r.source: r.n or 0 for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()}
     for p in plans:
         p.available = int(sums.get(p.source, 0))
+    if whole:
+        total_tokens = sum(p.available for p in plans)
     if total_tokens is None:
         limits = [p.available * p.max_repeats / p.target_share for p in plans if p.available and p.target_share and p.max_repeats]
         total_tokens = min(limits, default=0.0)
@@ -142,7 +145,7 @@ def mix_report(documents: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     return documents.sparkSession.createDataFrame(rows, schema)
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mix and its report. Empty tables give an empty mix; sources without documents reach a share of 0."""
-    plans = plan_mix(size_rows(documents, vocabulary=vocabulary), targets, total_tokens)
+    plans = plan_mix(size_rows(documents, vocabulary=vocabulary), targets, total_tokens, whole)
     return apply_mix(documents, plans), mix_report(documents, plans)
