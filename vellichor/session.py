@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,23 +32,35 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set an own one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine only where the session runs on it alone."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "vellichor-checkpoints")
-    sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        pass
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared checkpoint folder and read it from there; reads survive lost executors.
+
+    Unlike ``checkpoint()`` it doesn't compute ``df`` twice, and the table is
+    compressed. The table is removed when the program ends.
+    """
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    atexit.register(_remove, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
