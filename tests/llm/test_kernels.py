@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -123,17 +124,19 @@ def test_misread_text_is_found_and_regained():
 
 def test_neardup_parts():
     rng = random.Random(6)
-    text = "".join(rng.choice("abcdef gh") for _ in range(1500))
+    text = "".join(rng.choice("abcdef gh\t\n") for _ in range(1500))
+    plain = lambda t: " ".join(x for x in re.split(r"[ \t\r\n]+", t) if x)
+    batch = neardup.Batch([" \n", text, "short", "", "\t" + text[:40] + " \r\n", "exactly8"])
+    assert batch.which.tolist() == [1, 4, 5]
+    for start, n, want in zip(batch.starts, batch.lengths, (plain(text), plain(text[:40]), "exactly8")):
+        assert "".join(map(chr, batch.codes[start : start + n])) == want
     edited = text[:700] + "XY" + text[700:]
-    a, b = neardup.shingle_hashes(text), neardup.shingle_hashes(edited)
-    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in (text, edited)]
-    ha, hb = np.unique(a[0]), np.unique(b[0])
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in map(plain, (text, edited))]
+    ha, hb = neardup.shingle_set(text), neardup.shingle_set(edited)
     assert len(ha) == len(sets[0]) and neardup.overlap(ha, hb) == len(sets[0] & sets[1])
-    fa, fb = neardup.features(*a), neardup.features(*b)
-    assert len(np.intersect1d(fa, fb)) > 0.8 * len(fa)
-    # a feature depends on its text only, not on where it stands
-    assert np.isin(fa[:-3], neardup.features(*neardup.shingle_hashes("q" * 37 + text))).mean() > 0.8
-    assert len(neardup.features(*neardup.shingle_hashes("short"))) == 0 and len(neardup.features(*neardup.shingle_hashes("eightchr"))) == 1
+    assert neardup.overlap(ha, hb, len(sets[0]) + 1) == 0
+    values = np.sort(rng.choices(range(1 << 22), k=300)).astype(np.uint32)
+    assert (neardup.unpack(neardup.pack(values)) == values).all()
 
 
 def test_tagger_gradients_and_viterbi():

@@ -48,6 +48,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, folder, "versions"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_members(read_table(spark, folder, "versions"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, folder, "documents"))
 
@@ -69,7 +73,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_main_text, p2_found, p2_anchor_forms, p2_version_forms, p3_found, p3_regained, p4_found, p5_found, p5_classes, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
