@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from vellichor.llm import boilerplate, encoding, neardup, pii, pii_rules, residue, tagger
+from vellichor.llm import boilerplate, encoding, neardup, pii, pii_rules, pii_samples, residue, tagger
 from vellichor.llm.bpe import DEFAULT_VOCABULARY, BytePairEncoder, PairTree
 
 PAGE = """Home · News · Search · Login
@@ -197,5 +197,37 @@ def test_names_in_cyrillic():
     text = "Ответственный: Снежана Туманцевский, адрес: ул. Речная, д. 4."
     (spans,) = pii.find_in_texts([text])
     assert ("Снежана Туманцевский", "person") in {(text[a:b], k) for a, b, k in spans}
-    assert pii.settle("пишет Снежана Туманцевский.", [(6, 26, "person")]) == [(6, 26, "person")]
-    assert pii.settle("η Ελένη Παππά", [(2, 13, "person")]) == [(2, 13, "person")]
+    assert pii.settle("пишет Снежана Туманцевский.", [(6, 26, "person", 2.0)]) == [(6, 26, "person")]
+    assert pii.settle("η Ελένη Παππά", [(2, 13, "person", 2.0)]) == [(2, 13, "person")]
+
+
+def test_mentions_in_sentences_of_no_table():
+    wanted = {
+        "Maria Gonzalez can be reached at +34 912 345 678 after noon.": {("Maria Gonzalez", "person"), ("+34 912 345 678", "phone")},
+        "Yesterday John Smith signed the papers.": {("John Smith", "person")},
+        "Contact Anna Kowalska, PESEL 84051204567, ul. Długa 5, Kraków.": {("Anna Kowalska", "person"), ("84051204567", "id_number"), ("ul. Długa 5, Kraków", "address")},
+        "The award went to Emily Carter of Leeds.": {("Emily Carter", "person")},
+        "Письмо отправила Ольга Смирнова, тел. +7 912 345-67-89.": {("Ольга Смирнова", "person"), ("+7 912 345-67-89", "phone")},
+        "电话199 0000 1287": {("199 0000 1287", "phone")},
+    }
+    for text, spans in wanted.items():
+        assert {(text[a:b], kind) for a, b, kind in pii.find_in_texts([text])[0]} == spans
+
+
+def test_mention_of_any_length_and_over_a_window():
+    mail = "a" * 300 + "@" + "b" * 200 + ".example.org"
+    for pad in range(0, 300, 37):
+        text = "word " * (pad // 5) + "write to " + mail + " today, says John Smith."
+        spans = {(text[a:b], kind) for a, b, kind in pii.find_in_texts([text])[0]}
+        assert (mail, "email") in spans
+
+
+def test_made_up_samples_are_labelled():
+    rng = random.Random(77)
+    right = wanted = 0
+    for _ in range(300):
+        text, spans = pii_samples.sample(rng)
+        assert all(0 <= a < b <= len(text) for a, b, _ in spans)
+        got = set(tagger.spans_of(tagger.tag_texts(tagger.Tagger.load(), [tagger.encode(text)])[0]))
+        right, wanted = right + len(got & set(spans)), wanted + len(spans)
+    assert right > 0.9 * wanted  # 820 of 897 when written

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from vellichor.llm import pii_rules, tagger
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
-#: Characters on either side of a tagged run within which its exact form is sought.
-REACH = 90
-_TITLE = re.compile(r"^(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|M)\.? (?=\S+ )")
-_CYRILLIC = re.compile(r"[Ѐ-Я]")
+#: Mean lead over 'O' from which a name is one without a telling phrase beside it.
+SURE = 1.0
+_TITLE = re.compile(r"^(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|Contact|Kontakt|Dear|Invoice)\b[.:]? ?(?=\S+[ ,])|^M\. (?=\S+,? \S)")
+_TITLED = re.compile(r"(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|pani|pan|señora?|доктор)\.? $")
+_MARKED = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]")
+_EAST = re.compile(r"[가-힣一-鿿぀-ヿ]")
+#: What stands before or after a name in East Asian text.
+_EAST_BEFORE = re.compile(r"(?:담당자?|担当[者はの]?|係の|联系人?|由|致|寄给|받는 사람:?)\s?$")
+_EAST_AFTER = re.compile(r"\s?(?:씨|님|앞|さん|様|氏|先生|女士|签字|老师|\(ID)")
+_LONE = re.compile(r"(?<![\w.])[^\W\d_](?![\w.’'-])")
 
 Span = tuple[int, int, str]
 
@@ -27,39 +33,66 @@ def _model() -> tagger.Tagger:
     return tagger.Tagger.load()
 
 
-def settle(text: str, tagged: list[Span]) -> list[Span]:
-    """The exact check: each tagged run becomes the whole mention it lies in.
+def _whole_name(text: str, a: int, b: int, lead: float, named: list[Span]) -> tuple[int, int] | None:
+    """The name a tagged run is, or none: the exact check of names.
 
-    All but names must have an exact form around the run. A name takes the form
-    of its telling phrase, else of capitalised parts, or stays as tagged in
-    other scripts. Runs that hold a part of a mention merge into it.
+    A telling phrase around it gives its ends. Else it must have at least two parts
+    with capitals, as names have in text that marks them, and be tagged surely or
+    stand behind a title; in East Asian text a word for persons must stand beside it.
+    """
+    around = [(x, y) for x, y, _ in named if x < b and y > a]
+    if around:
+        x, y = max(around, key=lambda s: min(s[1], b) - max(s[0], a))
+        if m := _TITLE.match(text[x:y]):
+            x += m.end()
+        return x, y
+    while a < b and not text[a].isalnum():
+        a += 1
+    while a < b and not (text[b - 1].isalnum() or text[b - 1] == "." and re.search(r"\b\w\.$", text[a:b])):
+        b -= 1
+    if m := _TITLE.match(text[a:b]):
+        a += m.end()
+    part = text[a:b]
+    if _EAST.search(part):
+        return (a, b) if len(part) > 1 and (_EAST_BEFORE.search(text, max(0, a - 8), a) or _EAST_AFTER.match(text, b)) else None
+    if not _MARKED.search(part):  # a script of which no forms are known here
+        return (a, b) if len(part.split()) > 1 else None
+    if not pii_rules.LATIN_NAME.fullmatch(part) or _LONE.search(part):
+        return None
+    return (a, b) if lead >= SURE or _TITLED.search(text[max(0, a - 9) : a]) else None
+
+
+def settle(text: str, tagged: list[tuple[int, int, str, float]]) -> list[Span]:
+    """The exact check: each tagged run becomes the whole mention it lies in, or is no mention.
+
+    Forms are sought in the paragraph around a run, whatever its length, and give a
+    mention's ends and type; a run of digits that the tagger calls a phone or an
+    identity number needs no listed form. Runs that hold a part of a mention merge into it.
     """
     out: dict[Span, None] = {}
-    for a, b, kind in tagged:
-        left = max(text.rfind("\n", 0, a) + 1, a - REACH)
-        end = text.find("\n", b)
-        right = min(len(text) if end < 0 else end, b + REACH)
-        part = text[left:right]
-        hits = [(x + left, y + left, k) for x, y, k in pii_rules.forms(part) if x + left < b and y + left > a]
+    seen: dict[int, tuple[list[Span], list[Span]]] = {}
+    for a, b, kind, lead in tagged:
+        before = text.rfind("\n\n", 0, a)
+        left = before + 2 if before >= 0 else 0
+        if left not in seen:
+            end = text.find("\n\n", b)
+            part = text[left : end if end >= 0 else len(text)]
+            seen[left] = [(x + left, y + left, k) for x, y, k in pii_rules.forms(part)], [(x + left, y + left, k) for x, y, k in pii_rules.named(part)]
+        forms, named = seen[left]
+        hits = [h for h in forms if h[0] < b and h[1] > a]
         if hits and (kind != "person" or any(y - x >= (b - a) / 2 for x, y, _ in hits)):
             out.update(dict.fromkeys(hits))
-            continue
-        if kind == "person":
-            names = [(x + left, y + left) for x, y, _ in pii_rules.named(part) if x + left < b and y + left > a]
-            names = names or [(m.start() + left, m.end() + left) for m in pii_rules.LATIN_NAME.finditer(part) if m.start() + left < b and m.end() + left > a]
-            if names:
-                x, y = max(names, key=lambda s: min(s[1], b) - max(s[0], a))
-                if m := _TITLE.match(text[x:y]):
-                    x += m.end()
-                out[(x, y, "person")] = None
-            elif sum(map(str.isalpha, text[a:b])) > 1:
-                out[(a, b, "person")] = None
+        elif kind == "person":
+            if name := _whole_name(text, a, b, lead, named):
+                out[(*name, "person")] = None
+        elif kind in ("phone", "id_number") and lead >= SURE and pii_rules.NUMBER[kind].fullmatch(text, a, b) and sum(map(str.isdigit, text[a:b])) >= pii_rules.LEAST_DIGITS:
+            out[(a, b, kind)] = None
     kept: list[Span] = []
     for span in sorted(out, key=lambda s: (s[2] == "person", s[0] - s[1], s)):
         if span[2] == "person":  # an initial may be the end of a number before it
             start = max([y for x, y, _ in kept if x <= span[0] < y], default=span[0])
             span = (start + len(text[start : span[1]]) - len(text[start : span[1]].lstrip(" .,;:")), *span[1:])
-        if all(span[1] <= x or span[0] >= y for x, y, _ in kept):
+        if span[0] < span[1] and all(span[1] <= x or span[0] >= y for x, y, _ in kept):
             kept.append(span)
     return sorted(kept)
 
@@ -68,12 +101,8 @@ def find_in_texts(texts: list[str | None], model: tagger.Tagger | None = None) -
     """Mentions of each text, by position; null and empty texts have none."""
     model = model or _model()
     some = [i for i, t in enumerate(texts) if t]
-    tags = tagger.tag_texts(model, [tagger.encode(texts[i]) for i in some])
     out: list[list[Span]] = [[] for _ in texts]
-    for i, t in zip(some, tags):
-        tagged = tagger.spans_of(t)
-        if _CYRILLIC.search(texts[i]):  # the tagger was fitted without names in Cyrillic; telling phrases give them
-            tagged += [s for s in pii_rules.named(texts[i]) if _CYRILLIC.search(texts[i], s[0], s[1])]
+    for i, tagged in zip(some, tagger.find_runs(model, [tagger.encode(texts[i]) for i in some])):
         if tagged:
             out[i] = settle(texts[i], tagged)
     return out

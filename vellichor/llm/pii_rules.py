@@ -16,7 +16,7 @@ _PHONE = (
     r"(?:\+|00(?=[1-9]\d))\d{1,3}[\s.-]?(?:[(（]\d{1,4}[)）][\s.-]?)?\d{1,11}(?:[\s.-]\d{2,8}){0,5}"
     r"|[(（]\d{2,5}[)）]\s?\d{3,8}(?:[\s.-]\d{2,5}){0,3}"
     r"|[18][\s-]\(?\d{3}\)?[\s-]\d{3}[\s-]\d{2}-?\d{2}"
-    r"|\d{3}\.\d{3}\.\d{4}|\d{3}-555-\d{4}"
+    r"|\d{3}\.\d{3}\.\d{4}|\d{3}-\d{3}-\d{4}|1[3-9]\d[ -]?\d{4}[ -]?\d{4}"
     r"|0\d(?:[\s.-]\d{2}){4}"
     r"|0\d{1,4}[\s-]\d{3,5}[\s-]?\d{3,4}|0\d{1,4}[\s-]\d{6,8}"
     r"|01\d{8,9}"
@@ -35,6 +35,8 @@ _ADDRESS = "|".join(
         r"[가-힣]+(?:시|군|구|도) [가-힣]+(?:로|길|동) ?\d+(?:번길)?(?:-\d+)?",
         r"[぀-ヿ一-鿿]{2,6}?\d{1,3}(?:-\d{1,3}){2}",
         r"[一-鿿]{2,12}?(?:路|街|巷|道|弄)\d{1,5}号",
+        rf"(?:calle|Calle|avenida|Avenida|plaza|Plaza) (?:(?:de la|del|de|los|las) )?{_CAP}(?: {_CAP})?,? \d{{1,4}}(?:, (?:\d{{5}} )?{_CAP})?",
+        rf"\b(?:ul|al|pl)\. {_CAP}(?: {_CAP})? \d{{1,4}}[a-z]?(?:/\d{{1,4}})?(?:, (?:\d{{2}}-\d{{3}} )?{_CAP})?",
         rf"(?:г\. ?[А-ЯЁ][а-яё-]+, )?(?:ул|пр|пер)\. ?[А-ЯЁ][\wа-яё-]+(?:, | )(?:д\. ?)?\d+(?:, кв\. ?\d+)?(?:, (?:г\. )?[А-ЯЁ][а-яё-]+)?",
     ]
 )
@@ -63,6 +65,9 @@ _NAMED = [
 ]
 
 RULES = {"email": re.compile(_EMAIL, re.ASCII), "phone": re.compile(_PHONE), "id_number": re.compile(_ID), "address": re.compile(_ADDRESS)}
+#: What a tagged number of no listed form may consist of, and how many digits it must have.
+NUMBER = {"phone": re.compile(r"[+(]?\d(?:[\s().+-]{0,2}\d)*"), "id_number": re.compile(r"[A-Z]{0,3}\d(?:[ -]?\d)*[A-Z]?")}
+LEAST_DIGITS = 9
 NAMED = [re.compile(p) for p in _NAMED]
 LATIN_NAME = re.compile(_LATIN_NAME)
 
@@ -70,13 +75,12 @@ Span = tuple[int, int, str]
 
 
 def forms(text: str) -> list[Span]:
-    """Spans with the exact form of a mail address, phone, identity number or postal address; earlier types win overlaps."""
+    """Spans with the exact form of a mail address, postal address, identity number or phone; of spans that overlap the longest, or the first in this order."""
+    found = [(m.start() - m.end(), i, *m.span(), kind) for i, kind in enumerate(("email", "address", "id_number", "phone")) for m in RULES[kind].finditer(text)]
     out: list[Span] = []
-    for kind in ("email", "address", "id_number", "phone"):
-        for m in RULES[kind].finditer(text):
-            a, b = m.span()
-            if all(b <= x or a >= y for x, y, _ in out):
-                out.append((a, b, kind))
+    for _, _, a, b, kind in sorted(found):
+        if all(b <= x or a >= y for x, y, _ in out):
+            out.append((a, b, kind))
     return sorted(out)
 
 

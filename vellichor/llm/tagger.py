@@ -20,6 +20,10 @@ TAGS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
 ALPHABET = 96 + 48 + 48 + 24 + 24 + 8
 WINDOW = 256
 OVERLAP = 16
+PAD = 8
+#: By how much 'O' must lead, for how many characters, to part two stretches of a text.
+LEAD = 4.0
+QUIET = 3
 MODEL_FILE = Path(__file__).with_name("tagger.npz")
 
 
@@ -42,8 +46,10 @@ def char_id(ch: str) -> int:
         return 144 + code % 48
     if 0x3040 <= code <= 0x30FF:
         return 192 + code % 24
-    if 0x400 <= code <= 0x4FF:
-        return 216 + (code | 0x20) % 24
+    if 0x400 <= code <= 0x42F:
+        return 232 + code % 8
+    if 0x430 <= code <= 0x4FF:
+        return 216 + code % 16
     return 240 + code % 8
 
 
@@ -59,21 +65,16 @@ def encode(text: str) -> np.ndarray:
 
 
 def _squash(z: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """A rational stand-in for tanh, ``z (27 + z^2) / (27 + 9 z^2)`` between -3 and 3, in place; it costs a third."""
-    np.clip(z, -3.0, 3.0, out=z)
-    np.multiply(z, z, out=spare)
-    spare += 27.0
-    z *= spare
-    spare *= 9.0
-    spare -= 216.0
+    """``z / (1 + |z|)`` in place, a stand-in for tanh at a fraction of its cost."""
+    np.absolute(z, out=spare)
+    spare += 1.0
     z /= spare
     return z
 
 
 def _slope(z: np.ndarray) -> np.ndarray:
-    """Derivative of the squash at ``z`` before it is clipped."""
-    square = np.minimum(z * z, 9.0)
-    return ((9.0 - square) / (9.0 + 3.0 * square)) ** 2
+    """Derivative of the squash."""
+    return 1.0 / np.square(1.0 + np.absolute(z))
 
 
 class Tagger:
@@ -111,8 +112,8 @@ class Tagger:
 
     # reading
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs.
+    def _lstm(self, x: np.ndarray, d: str, keep: bool, ahead: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs; ``ahead``: ``x`` is turned round already.
 
         Gates i, f, o, n are stacked in front, so that each is contiguous.
         """
@@ -126,7 +127,7 @@ class Tagger:
         out = np.empty((steps, batch, hid), np.float32)
         spare = np.empty((4, batch, hid), np.float32)
         saved = []
-        for t in range(steps) if d == "0" else range(steps - 1, -1, -1):
+        for t in range(steps) if ahead or d == "0" else range(steps - 1, -1, -1):
             g = np.matmul(h, rec)
             g += table.take(x[t], axis=1)
             slope = _slope(g) if keep else None
@@ -152,9 +153,23 @@ class Tagger:
         e += self.p["b"]
         return np.ascontiguousarray(e.transpose(0, 2, 1))
 
+    def scores_of(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """Tag scores (length, tags) of pieces of text, read side by side but each as if alone, with some blanks behind it."""
+        hid, steps = self.hidden, max(map(len, pieces)) + PAD
+        x, turned = np.zeros((2, steps, len(pieces)), np.uint8)
+        for col, piece in enumerate(pieces):
+            x[: len(piece), col] = piece
+            turned[PAD : PAD + len(piece), col] = piece[::-1]
+        one = self._lstm(x, "0", False)[0] @ self.p["W"][:hid] + self.p["b"]
+        two = self._lstm(turned, "1", False, True)[0] @ self.p["W"][hid:]
+        return [one[: len(p), col] + two[PAD : PAD + len(p), col][::-1] for col, p in enumerate(pieces)]
+
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Most likely tags (time, batch) by Viterbi; the step back is found again from the scores, which is cheaper than keeping it."""
-        score = self.emissions(x)
+        """Most likely tags (time, batch) of windows on their own."""
+        return self.best_path(self.emissions(x))
+
+    def best_path(self, score: np.ndarray) -> np.ndarray:
+        """Most likely tags (time, batch) for scores (time, tags, batch), which are overwritten, by Viterbi; the step back is found again from the sums, which is cheaper than keeping it."""
         steps, k, batch = score.shape
         trans = self.p["A"]
         through = np.empty((k, k, batch), np.float32)
@@ -263,22 +278,62 @@ def windows_of(lengths: list[int], window: int = WINDOW, overlap: int = OVERLAP)
     return out
 
 
+def _stretches(scores: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a text (scores: length x tags) that aren't plainly outside: apart by at least ``QUIET`` characters at which 'O' leads by ``LEAD``."""
+    lively = np.flatnonzero(scores[:, 0] < scores[:, 1:].max(axis=1) + LEAD)
+    if not len(lively):
+        return []
+    gaps = np.flatnonzero(np.diff(lively) > QUIET)
+    first, last = lively[np.concatenate(([0], gaps + 1))], lively[np.concatenate((gaps, [len(lively) - 1]))]
+    return [(max(0, int(a) - 2), min(len(scores), int(b) + 3)) for a, b in zip(first, last)]
+
+
 def tag_texts(model: Tagger, ids: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP, rows: int = 512) -> list[np.ndarray]:
-    """Tags of whole texts: windows are decoded side by side, and each character takes the tag of the window in which it lies farther from an edge."""
-    places = windows_of([len(x) for x in ids], window, overlap)
+    """Tags of whole texts."""
+    return _tag(model, ids, window, overlap, rows)[0]
+
+
+def find_runs(model: Tagger, ids: list[np.ndarray]) -> list[list[tuple[int, int, str, float]]]:
+    """Tagged runs of whole texts, with the mean lead of their own tags over 'O'."""
+    out = []
+    for tags, scores in zip(*_tag(model, ids, WINDOW, OVERLAP, 512)):
+        out.append([(a, b, kind, float((scores[np.arange(a, b), tags[a:b]] - scores[a:b, 0]).mean())) for a, b, kind in spans_of(tags)])
+    return out
+
+
+def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Tags and scores of whole texts.
+
+    Overlapping windows are scored side by side; each character takes its scores
+    from the window in which it lies farther from an edge. Then one best path is
+    found through the scores of the whole text, so that a mention over the edge of
+    a window is one. Paths are only sought through stretches that aren't plainly
+    outside any mention, with plain characters on either side, and stretches of like
+    length are walked together.
+    """
+    places = sorted(windows_of([len(x) for x in ids], window, overlap), key=lambda p: min(window, len(ids[p[0]]) - p[1]))
     out = [np.zeros(len(x), np.uint8) for x in ids]
+    scores = [np.empty((len(x), len(TAGS)), np.float32) for x in ids]
     for begin in range(0, len(places), rows):
         part = places[begin : begin + rows]
-        x = np.zeros((window, len(part)), np.uint8)
-        for col, (i, start) in enumerate(part):
-            piece = ids[i][start : start + window]
-            x[: len(piece), col] = piece
-        tags = model.decode(x)
-        for col, (i, start) in enumerate(part):
+        for (i, start), e in zip(part, model.scores_of([ids[i][start : start + window] for i, start in part])):
             a = start + (overlap if start else 0)
             b = min(len(ids[i]), start + window - (overlap if start + window < len(ids[i]) else 0))
-            out[i][a:b] = tags[a - start : b - start, col]
-    return out
+            scores[i][a:b] = e[a - start : b - start]
+    found = sorted(((b - a, i, a) for i, s in enumerate(scores) for a, b in _stretches(s)), reverse=True)
+    at = 0
+    while at < len(found):
+        longest = found[at][0]
+        group = [f for f in found[at : at + 256] if 2 * f[0] >= longest]
+        at += len(group)
+        e = np.full((longest, len(TAGS), len(group)), -50.0, np.float32)
+        e[:, 0] = 0.0
+        for col, (n, i, a) in enumerate(group):
+            e[:n, :, col] = scores[i][a : a + n]
+        tags = model.best_path(e)
+        for col, (n, i, a) in enumerate(group):
+            out[i][a : a + n] = tags[:n, col]
+    return out, scores
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
