@@ -16,6 +16,9 @@ from vellichor.llm import pii_rules, tagger
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 #: Mean lead over 'O' from which a name is one without a telling phrase beside it.
 SURE = 1.0
+#: Rows read and characters tagged at a time.
+ROWS = 1024
+HELD_CHARS = 1_500_000
 _TITLE = re.compile(r"^(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|Contact|Kontakt|Dear|Invoice)\b[.:]? ?(?=\S+[ ,])|^M\. (?=\S+,? \S)")
 _TITLED = re.compile(r"(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Mme|pani|pan|señora?|доктор)\.? $")
 _MARKED = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]")
@@ -100,11 +103,18 @@ def settle(text: str, tagged: list[tuple[int, int, str, float]]) -> list[Span]:
 def find_in_texts(texts: list[str | None], model: tagger.Tagger | None = None) -> list[list[Span]]:
     """Mentions of each text, by position; null and empty texts have none."""
     model = model or _model()
-    some = [i for i, t in enumerate(texts) if t]
     out: list[list[Span]] = [[] for _ in texts]
-    for i, tagged in zip(some, tagger.find_runs(model, [tagger.encode(texts[i]) for i in some])):
-        if tagged:
-            out[i] = settle(texts[i], tagged)
+    some: list[int] = []
+    held = 0
+    for i, text in enumerate([*texts, None]):
+        if some and (i == len(texts) or held + len(text or "") > HELD_CHARS):  # texts of bounded size are tagged together
+            for j, tagged in zip(some, tagger.find_runs(model, [tagger.encode(texts[j]) for j in some])):
+                if tagged:
+                    out[j] = settle(texts[j], tagged)
+            some, held = [], 0
+        if text:
+            some.append(i)
+            held += len(text)
     return out
 
 
@@ -120,8 +130,8 @@ def find_personal(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 found = find_in_texts(batch.column(1).to_pylist())
                 rows = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
                 flat = [s for f in found for s in f]
@@ -148,8 +158,8 @@ def redact_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 texts = batch.column(1).to_pylist()
                 clean = [t if t is None else redact(t, spans) for t, spans in zip(texts, find_in_texts(texts))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], ["k", "t"])

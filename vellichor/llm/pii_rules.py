@@ -66,7 +66,7 @@ _NAMED = [
 
 RULES = {"email": re.compile(_EMAIL, re.ASCII), "phone": re.compile(_PHONE), "id_number": re.compile(_ID), "address": re.compile(_ADDRESS)}
 #: What a tagged number of no listed form may consist of, and how many digits it must have.
-NUMBER = {"phone": re.compile(r"[+(]?\d(?:[\s().+-]{0,2}\d)*"), "id_number": re.compile(r"[A-Z]{0,3}\d(?:[ -]?\d)*[A-Z]?")}
+NUMBER = {"phone": re.compile(r"[+(0][\s().+-]{0,2}\d(?:[\s().+-]{0,2}\d)*"), "id_number": re.compile(r"[A-Z]{0,3}\d+(?:[ -]\d+){0,2}[A-Z]?")}
 LEAST_DIGITS = 9
 NAMED = [re.compile(p) for p in _NAMED]
 LATIN_NAME = re.compile(_LATIN_NAME)

@@ -21,9 +21,6 @@ ALPHABET = 96 + 48 + 48 + 24 + 24 + 8
 WINDOW = 256
 OVERLAP = 16
 PAD = 8
-#: By how much 'O' must lead, for how many characters, to part two stretches of a text.
-LEAD = 4.0
-QUIET = 3
 MODEL_FILE = Path(__file__).with_name("tagger.npz")
 
 
@@ -153,16 +150,20 @@ class Tagger:
         e += self.p["b"]
         return np.ascontiguousarray(e.transpose(0, 2, 1))
 
-    def scores_of(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        """Tag scores (length, tags) of pieces of text, read side by side but each as if alone, with some blanks behind it."""
-        hid, steps = self.hidden, max(map(len, pieces)) + PAD
-        x, turned = np.zeros((2, steps, len(pieces)), np.uint8)
+    def scores_of(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """Tag scores (tags, place * pieces + piece) of pieces of text, read side by side but each as if alone, with some blanks behind it."""
+        hid, sizes = self.hidden, np.array([len(p) for p in pieces])
+        steps, batch = int(sizes.max()) + PAD, len(pieces)
+        x, turned = np.zeros((2, steps, batch), np.uint8)
         for col, piece in enumerate(pieces):
             x[: len(piece), col] = piece
             turned[PAD : PAD + len(piece), col] = piece[::-1]
-        one = self._lstm(x, "0", False)[0] @ self.p["W"][:hid] + self.p["b"]
-        two = self._lstm(turned, "1", False, True)[0] @ self.p["W"][hid:]
-        return [one[: len(p), col] + two[PAD : PAD + len(p), col][::-1] for col, p in enumerate(pieces)]
+        one = self._lstm(x[:-PAD], "0", False)[0].reshape(-1, hid)
+        two = self._lstm(turned, "1", False, True)[0].reshape(-1, hid)
+        back = np.maximum(sizes + PAD - 1 - np.arange(steps - PAD)[:, None], 0) * batch + np.arange(batch)
+        scores = self.p["W"][:hid].T @ one.T
+        scores += self.p["W"][hid:].T @ two.take(back.ravel(), axis=0).T
+        return scores
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Most likely tags (time, batch) of windows on their own."""
@@ -278,16 +279,6 @@ def windows_of(lengths: list[int], window: int = WINDOW, overlap: int = OVERLAP)
     return out
 
 
-def _stretches(scores: np.ndarray) -> list[tuple[int, int]]:
-    """Parts of a text (scores: length x tags) that aren't plainly outside: apart by at least ``QUIET`` characters at which 'O' leads by ``LEAD``."""
-    lively = np.flatnonzero(scores[:, 0] < scores[:, 1:].max(axis=1) + LEAD)
-    if not len(lively):
-        return []
-    gaps = np.flatnonzero(np.diff(lively) > QUIET)
-    first, last = lively[np.concatenate(([0], gaps + 1))], lively[np.concatenate((gaps, [len(lively) - 1]))]
-    return [(max(0, int(a) - 2), min(len(scores), int(b) + 3)) for a, b in zip(first, last)]
-
-
 def tag_texts(model: Tagger, ids: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP, rows: int = 512) -> list[np.ndarray]:
     """Tags of whole texts."""
     return _tag(model, ids, window, overlap, rows)[0]
@@ -295,45 +286,64 @@ def tag_texts(model: Tagger, ids: list[np.ndarray], window: int = WINDOW, overla
 
 def find_runs(model: Tagger, ids: list[np.ndarray]) -> list[list[tuple[int, int, str, float]]]:
     """Tagged runs of whole texts, with the mean lead of their own tags over 'O'."""
-    out = []
-    for tags, scores in zip(*_tag(model, ids, WINDOW, OVERLAP, 512)):
-        out.append([(a, b, kind, float((scores[np.arange(a, b), tags[a:b]] - scores[a:b, 0]).mean())) for a, b, kind in spans_of(tags)])
-    return out
+    return [[(a, b, kind, float(leads[a:b].mean())) for a, b, kind in spans_of(tags)] for tags, leads in zip(*_tag(model, ids, WINDOW, OVERLAP, 512))]
 
 
 def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Tags and scores of whole texts.
+    """Tags of whole texts, and how much each character's tag leads over 'O'.
 
     Overlapping windows are scored side by side; each character takes its scores
     from the window in which it lies farther from an edge. Then one best path is
-    found through the scores of the whole text, so that a mention over the edge of
-    a window is one. Paths are only sought through stretches that aren't plainly
-    outside any mention, with plain characters on either side, and stretches of like
-    length are walked together.
+    found through each whole text, so that a mention over the edge of a window is
+    one. Texts lie side by side, the longest first: at each place, only those
+    that reach it are walked.
     """
-    places = sorted(windows_of([len(x) for x in ids], window, overlap), key=lambda p: min(window, len(ids[p[0]]) - p[1]))
-    out = [np.zeros(len(x), np.uint8) for x in ids]
-    scores = [np.empty((len(x), len(TAGS)), np.float32) for x in ids]
-    for begin in range(0, len(places), rows):
-        part = places[begin : begin + rows]
-        for (i, start), e in zip(part, model.scores_of([ids[i][start : start + window] for i, start in part])):
-            a = start + (overlap if start else 0)
-            b = min(len(ids[i]), start + window - (overlap if start + window < len(ids[i]) else 0))
-            scores[i][a:b] = e[a - start : b - start]
-    found = sorted(((b - a, i, a) for i, s in enumerate(scores) for a, b in _stretches(s)), reverse=True)
-    at = 0
-    while at < len(found):
-        longest = found[at][0]
-        group = [f for f in found[at : at + 256] if 2 * f[0] >= longest]
-        at += len(group)
-        e = np.full((longest, len(TAGS), len(group)), -50.0, np.float32)
-        e[:, 0] = 0.0
-        for col, (n, i, a) in enumerate(group):
-            e[:n, :, col] = scores[i][a : a + n]
-        tags = model.best_path(e)
-        for col, (n, i, a) in enumerate(group):
-            out[i][a : a + n] = tags[:n, col]
-    return out, scores
+    lengths = np.array([len(x) for x in ids], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    column = np.empty(len(ids), np.int64)
+    column[order] = np.arange(len(ids))
+    reach = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than a place
+    begins = np.concatenate(([0], np.cumsum(reach)))
+    scores = np.empty((len(TAGS), int(begins[-1])), np.float32)
+    places = sorted(windows_of(lengths.tolist(), window, overlap), key=lambda p: min(window, int(lengths[p[0]]) - p[1]))
+    for at in range(0, len(places), rows):
+        part = places[at : at + rows]
+        own = model.scores_of([ids[i][start : start + window] for i, start in part])
+        text, start = np.array(part, np.int64).T
+        place = np.arange(own.shape[1] // len(part))[:, None]
+        last = np.minimum(window, lengths[text] - start) - np.where(start + window < lengths[text], overlap, 0)
+        inside = np.flatnonzero((place >= np.where(start > 0, overlap, 0)) & (place < last))
+        spot = (begins[(place + start).ravel()[inside]] + np.broadcast_to(column[text], (len(place), len(part))).ravel()[inside]) if len(inside) else inside
+        for k in range(len(TAGS)):
+            scores[k, spot] = own[k].take(inside)
+    scores += model.p["b"][:, None]
+    tags, leads = _packed_path(scores, begins.tolist(), model.p["A"])
+    flat = [begins[:n] + c for n, c in zip(lengths.tolist(), column.tolist())]
+    return [tags[f] for f in flat], [leads[f] for f in flat]
+
+
+def _packed_path(scores: np.ndarray, begins: list[int], trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most likely tag at each place of texts that lie side by side, the longest first (place ``t`` from ``begins[t]``), and its lead over the first tag."""
+    k, steps = len(trans), len(begins) - 1
+    sums = scores.copy()
+    through = np.empty((k, k, max(1, begins[1] if steps else 1)), np.float32)
+    for t in range(1, steps):
+        a, b, n = begins[t - 1], begins[t], begins[t + 1] - begins[t]
+        view = through[:, :, :n]
+        np.add(sums[:, None, a : a + n], trans[:, :, None], out=view)
+        sums[:, b : b + n] += np.maximum.reduce(view, axis=0)
+    tags = np.empty(scores.shape[1], np.uint8)
+    best = np.empty(0, np.int64)
+    for t in range(steps - 1, -1, -1):
+        b, n = begins[t], begins[t + 1] - begins[t]
+        now = sums[:, b : b + n].copy()
+        now[:, : len(best)] += trans.take(best, axis=1)
+        best = now.argmax(axis=0)
+        tags[b : b + n] = best
+    leads = np.zeros(len(tags), np.float32)
+    some = np.flatnonzero(tags)
+    leads[some] = scores[tags[some], some] - scores[0, some]
+    return tags, leads
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
