@@ -9,6 +9,7 @@ gradients of the CRF likelihood on labelled windows, ``decode`` tags windows.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from functools import lru_cache
 from pathlib import Path
@@ -110,7 +111,7 @@ class Tagger:
     # reading
 
     def _lstm(self, x: np.ndarray, d: str, keep: bool, ahead: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs; ``ahead``: ``x`` is turned round already.
+        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs, without twice the states; ``ahead``: ``x`` is turned round already.
 
         Gates i, f, o, n are stacked in front, so that each is contiguous.
         """
@@ -118,7 +119,7 @@ class Tagger:
         hid = self.hidden
         split = lambda m: np.ascontiguousarray(m.reshape(-1, 4, hid).transpose(1, 0, 2))
         half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None]  # sigmoid(z) = (squash(z / 2) + 1) / 2
-        table, rec = split(self.p["T" + d]) * half, split(self.p["U" + d]) * half
+        table, rec = split(self.p["T" + d]) * half, split(self.p["U" + d]) * half * np.float32(1 if keep else 0.5)
         h = np.zeros((batch, hid), np.float32)
         c = np.zeros((batch, hid), np.float32)
         out = np.empty((steps, batch, hid), np.float32)
@@ -127,7 +128,19 @@ class Tagger:
         for t in range(steps) if ahead or d == "0" else range(steps - 1, -1, -1):
             g = np.matmul(h, rec)
             g += table.take(x[t], axis=1)
-            slope = _slope(g) if keep else None
+            if not keep:  # the halves of the three gates are taken together, and that of the output in what reads it
+                _squash(g, spare)
+                g[:3] += 1.0
+                c *= g[1]
+                g[0] *= g[3]
+                c += g[0]
+                c *= 0.5
+                h = out[t]
+                h[:] = c
+                _squash(h, spare[0])
+                h *= g[2]
+                continue
+            slope = _slope(g)
             _squash(g, spare)
             g[:3] += 1.0
             g[:3] *= 0.5
@@ -135,9 +148,8 @@ class Tagger:
             c = g[1] * c
             c += g[0] * g[3]
             tc = _squash(c.copy(), spare[0])
-            if keep:
-                slope[:3] *= 0.25
-                saved.append((t, h, before, g, slope, tc, _slope(c)))
+            slope[:3] *= 0.25
+            saved.append((t, h, before, g, slope, tc, _slope(c)))
             h = out[t]
             np.multiply(g[2], tc, out=h)
         return out, saved
@@ -145,8 +157,9 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores (time, tags, batch) of windows ``x`` (time, batch)."""
         hid = self.hidden
-        e = self._lstm(x, "0", False)[0] @ self.p["W"][:hid]
-        e += self._lstm(x, "1", False)[0] @ self.p["W"][hid:]
+        half = self.p["W"] * np.float32(0.5)
+        e = self._lstm(x, "0", False)[0] @ half[:hid]
+        e += self._lstm(x, "1", False)[0] @ half[hid:]
         e += self.p["b"]
         return np.ascontiguousarray(e.transpose(0, 2, 1))
 
@@ -161,8 +174,9 @@ class Tagger:
         one = self._lstm(x[:-PAD], "0", False)[0].reshape(-1, hid)
         two = self._lstm(turned, "1", False, True)[0].reshape(-1, hid)
         back = np.maximum(sizes + PAD - 1 - np.arange(steps - PAD)[:, None], 0) * batch + np.arange(batch)
-        scores = self.p["W"][:hid].T @ one.T
-        scores += self.p["W"][hid:].T @ two.take(back.ravel(), axis=0).T
+        half = self.p["W"] * np.float32(0.5)
+        scores = half[:hid].T @ one.T
+        scores += half[hid:].T @ two.take(back.ravel(), axis=0).T
         return scores
 
     def decode(self, x: np.ndarray) -> np.ndarray:
@@ -326,12 +340,21 @@ def _packed_path(scores: np.ndarray, begins: list[int], trans: np.ndarray) -> tu
     """Most likely tag at each place of texts that lie side by side, the longest first (place ``t`` from ``begins[t]``), and its lead over the first tag."""
     k, steps = len(trans), len(begins) - 1
     sums = scores.copy()
-    through = np.empty((k, k, max(1, begins[1] if steps else 1)), np.float32)
+    trans = trans.copy()
+    for i, j in itertools.product(range(k), range(2, k, 2)):
+        if i not in (j - 1, j):
+            trans[i, j] = -np.inf  # inside tags follow their own type alone
+    free = [0, *range(1, k, 2)]
+    into, own, stay = trans[:, free, None], trans[range(1, k, 2), range(2, k, 2), None], trans[range(2, k, 2), range(2, k, 2), None]
+    through = np.empty((k, len(free), max(1, begins[1] if steps else 1)), np.float32)
     for t in range(1, steps):
         a, b, n = begins[t - 1], begins[t], begins[t + 1] - begins[t]
-        view = through[:, :, :n]
-        np.add(sums[:, None, a : a + n], trans[:, :, None], out=view)
-        sums[:, b : b + n] += np.maximum.reduce(view, axis=0)
+        before, now, view = sums[:, a : a + n], sums[:, b : b + n], through[:, :, :n]
+        np.add(before[:, None], into, out=view)
+        most = np.maximum.reduce(view, axis=0)
+        now[0] += most[0]
+        now[1::2] += most[1:]
+        now[2::2] += np.maximum(before[1::2] + own, before[2::2] + stay)
     tags = np.empty(scores.shape[1], np.uint8)
     best = np.empty(0, np.int64)
     for t in range(steps - 1, -1, -1):
