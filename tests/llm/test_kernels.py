@@ -231,3 +231,18 @@ def test_made_up_samples_are_labelled():
         got = set(tagger.spans_of(tagger.tag_texts(tagger.Tagger.load(), [tagger.encode(text)])[0]))
         right, wanted = right + len(got & set(spans)), wanted + len(spans)
     assert right > 0.9 * wanted  # 820 of 897 when written
+
+
+def test_long_notices_and_long_paragraphs():
+    notice = "We use cookies and similar technologies to measure visits. " * 8 + "All rights reserved."
+    assert len(notice) > 400 and boilerplate.looks_like_furniture(notice)
+    paragraph = "The mill was built beside the weir and worked until the war. " * 12 + "We use cookies to bribe the miller. " + "It then stood empty for years. " * 12
+    assert not boilerplate.looks_like_furniture(paragraph)
+
+
+def test_unclosed_fence_hides_nothing():
+    garbled = "Le cafÃ© est fermÃ© depuis l’Ã©tÃ© dernier"
+    model = encoding.fit_texts(["Le café est fermé depuis l’été dernier, dit la mairie du village."] * 50) if hasattr(encoding, "fit_texts") else None
+    assert encoding._blank_code("a `b` ```\nx\n``` c") == "a         \n \n    c"
+    assert garbled in encoding._blank_code("# code\n```\nx = 1\n" + garbled)
+    assert model is None or encoding.Ungarbler(model).is_garbled("```\n" + garbled)

@@ -149,3 +149,14 @@ def test_blocks_of_near_duplicates(spark, monkeypatch):
     one = set(map(tuple, neardup.near_duplicates(versions).collect()))
     monkeypatch.setattr(neardup, "BLOCK_ENTRIES", 1500)
     assert set(map(tuple, neardup.near_duplicates(versions).collect())) == one
+
+
+def test_sample_of_the_residue_model_is_bounded(spark, monkeypatch):
+    """Rows without an id and repeated rows are drawn like others."""
+    monkeypatch.setattr(residue, "FIT_TRUSTED", 5)
+    monkeypatch.setattr(residue, "FIT_UNLABELLED", 7)
+    got = []
+    monkeypatch.setattr(residue, "fit_bodies", lambda bodies: got.extend(bodies))
+    rows = spark.range(20_000).select(F.lit(None).cast("string").alias("version_id"), F.concat(F.lit("404 not found "), F.col("id") % 9000).alias("content_blob"))
+    residue.fit(rows)
+    assert 0 < len(got) <= 12

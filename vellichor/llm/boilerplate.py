@@ -70,6 +70,8 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _ITEMS = re.compile(r"\s+[|·•»›>/–—-]\s+|\s*[｜|]\s*|\s*[・]\s*|\s{2,}")
 _CRUMB = re.compile(fold(rf"^(?:{'|'.join(HOME_WORDS)})\s*[›>/»]\s*\S"))
 _SENTENCE_END = re.compile(r"[.!?。！？…:：;»”\"』」)]\s*$")
+_SENTENCES = re.compile(r"(?<=[.!?。！？])\s*")
+_STOP = re.compile(r"[.!?。！？]\s*\S")  # a sentence goes on behind another
 _COLUMNS = re.compile(r"\S(?:\t+|\s{2,})[\d.,%-]+(?:(?:\t+|\s{2,})\S+)*\s*$")
 _HIDDEN_TAGS = "nav aside footer script style noscript form button iframe"
 _OPEN = re.compile(rf"^\s*<({_HIDDEN_TAGS.replace(' ', '|')})\b[^>]*>", re.IGNORECASE)
@@ -96,11 +98,21 @@ def looks_like_furniture(line: str) -> bool:
     if not line or line.startswith(("# ", "|")):
         return False
     bare = _HEAD_MARKS.sub("", line).strip()
-    return bool(_FURNITURE.match(bare) or _CRUMB.match(bare) or (len(bare) < 300 and (_RIGHTS.search(bare) or _COOKIES.search(bare))) or is_menu(bare))
+    return bool(_FURNITURE.match(bare) or _CRUMB.match(bare) or _is_notice(bare) or is_menu(bare))
+
+
+def _is_notice(line: str) -> bool:
+    """Whether sentences that a notice on rights or cookies lies in make up a quarter of a line or more, however long it is."""
+    found = [m.span() for kind in (_RIGHTS, _COOKIES) for m in kind.finditer(line)]
+    if not found:
+        return False
+    ends = [m.end() for m in _SENTENCES.finditer(line) if m.end() < len(line)] + [len(line)]
+    own = sum(b - a for a, b in zip([0, *ends], ends) if any(x < b and y > a for x, y in found))
+    return 4 * own >= len(line)
 
 
 def is_teaser_head(line: str) -> bool:
-    return len(line) < 120 and bool(_TEASER.match(_HEAD_MARKS.sub("", fold(line.lower())).strip()))
+    return not _STOP.search(line) and bool(_TEASER.match(_HEAD_MARKS.sub("", fold(line.lower())).strip()))
 
 
 @dataclass
@@ -180,7 +192,7 @@ class Visibility:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             known = _kind(line)
-            if not known and len(line) < 200 and not line.isascii() and not _SENTENCE_END.search(line):
+            if not known and not line.isascii() and not _SENTENCE_END.search(line):
                 known = max(map(_kind, readings(line)), default=0)
             self.memo[line] = known
         return known
@@ -195,7 +207,7 @@ class Visibility:
         if len(div.children) < 2 or div.children[0].tag not in ("p", "h2", "h3", "h4") or any(n.tag not in ("p", "li") for n in div.children[1:]):
             return False
         lines = [text for n in div.children for _, text in n.lines]
-        return len(lines) >= 3 and not any(_SENTENCE_END.search(x) or " = " in x or len(x) > 120 for x in lines)
+        return len(lines) >= 3 and not any(_SENTENCE_END.search(x) or " = " in x for x in lines)
 
     def apply(self, root: Node) -> None:
         """Hide nodes: furniture lines, menus as lists, what hangs on a teaser head, and mixed divs that hold any of these."""

@@ -46,7 +46,7 @@ MISREADINGS = {
 MEMO_ENTRIES = 100_000
 
 _MULT = np.uint32(0x9E3779B1)
-_CODE = re.compile(r"```.*?(?:```|\Z)|(`+)[^`\n]+\1", re.DOTALL)
+_CODE = re.compile(r"```.*?```|(`+)[^`\n]+\1", re.DOTALL)  # a fence that nothing closes hides nothing
 _LOST = re.compile("�")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 
@@ -218,7 +218,8 @@ def _one_script(a: str, b: str) -> bool:
 
 
 def _blank_code(text: str) -> str:
-    return _CODE.sub(lambda m: " " * len(m.group()), text) if "`" in text else text
+    """The text with blanks in place of code; lines stay lines."""
+    return _CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "`" in text else text
 
 
 class Ungarbler:
@@ -317,12 +318,8 @@ class Ungarbler:
         """The text with every regained line in place."""
         if not text or text.isascii():
             return text
-        out, fenced = [], False
-        for line in text.split("\n"):
-            fence = line.lstrip().startswith("```")
-            fenced ^= fence
-            out.append(line if fenced or fence else self.line(line)[1])
-        return "\n".join(out)
+        shown = _blank_code(text).split("\n")
+        return "\n".join(self.line(line)[1] if not plain.isascii() else line for line, plain in zip(text.split("\n"), shown))
 
 
 def records(documents: DataFrame, versions: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ FIT_SOUGHT = 60_000
 FIT_TRUSTED = 2500
 FIT_UNLABELLED = 2500
 EM_ROUNDS = 3
+#: Bodies up to this length are labelled by phrases, which bounds what is learned from, not what is scored.
 TRUSTED_CHARS = 320
 TRUSTED_SHARE = 0.25
 RESIDUE_SHARE = 0.4
@@ -210,18 +211,16 @@ def _below(rows: int, total: int) -> int:
 def fit(versions: DataFrame) -> ResidueModel:
     """Fit on bounded samples by hash; without trusted records nothing is residue.
 
-    Trusted records are sought among about ``FIT_SOUGHT`` rows and the first
-    ``FIT_TRUSTED`` of them by hash are taken, beside about ``FIT_UNLABELLED``
-    other rows. Thresholds keep what the driver gets bounded at any size.
+    Trusted records are sought among about ``FIT_SOUGHT`` rows; of these the first
+    ``FIT_TRUSTED`` by hash are taken, beside ``FIT_UNLABELLED`` others. The hash is of
+    id and body, so that rows without an id are drawn like others, and rows that are
+    repeated count once: the driver never gets more than these numbers.
     """
     total = versions.count()
-    body = versions.select(F.xxhash64("version_id").bitwiseAND(F.lit((1 << 62) - 1)).alias("h"), "content_blob").filter("content_blob is not null")
-    sought = _trusted_rows(body.filter(F.col("h") < _below(FIT_SOUGHT, total)))
-    hashes = sorted(r.h for r in sought.select("h").distinct().collect())
-    bound = hashes[FIT_TRUSTED] if len(hashes) > FIT_TRUSTED else 1 << 62
-    likely = [r.content_blob for r in sought.filter(F.col("h") < bound).collect()]
-    others = [r.content_blob for r in body.filter(F.col("h") < _below(FIT_UNLABELLED, total)).collect()]
-    return fit_bodies(sorted({*likely, *others}))
+    body = versions.filter("content_blob is not null").select(F.xxhash64("version_id", "content_blob").bitwiseAND(F.lit((1 << 62) - 1)).alias("h"), "content_blob")
+    draw = lambda df, n: [r.content_blob for r in df.dropDuplicates(["h"]).orderBy("h").limit(n).collect()]
+    likely = draw(_trusted_rows(body.filter(F.col("h") < _below(FIT_SOUGHT, total))), FIT_TRUSTED)
+    return fit_bodies(sorted({*likely, *draw(body.filter(F.col("h") < _below(FIT_UNLABELLED, total)), FIT_UNLABELLED)}))
 
 
 def fit_bodies(bodies: list[str]) -> ResidueModel:

@@ -111,7 +111,7 @@ class Tagger:
     # reading
 
     def _lstm(self, x: np.ndarray, d: str, keep: bool, ahead: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs, without twice the states; ``ahead``: ``x`` is turned round already.
+        """Hidden states (time, batch, H) of one direction; with ``keep`` also what the gradient needs, without it the states come out doubled; ``ahead``: ``x`` is turned round already.
 
         Gates i, f, o, n are stacked in front, so that each is contiguous.
         """
