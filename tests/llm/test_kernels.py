@@ -234,9 +234,9 @@ def test_made_up_samples_are_labelled():
 
 
 def test_long_notices_and_long_paragraphs():
-    notice = "We use cookies and similar technologies to measure visits. " * 8 + "All rights reserved."
+    notice = "We use cookies to measure visits: accept all or decline. " * 8 + "All rights reserved."
     assert len(notice) > 400 and boilerplate.looks_like_furniture(notice)
-    paragraph = "The mill was built beside the weir and worked until the war. " * 12 + "We use cookies to bribe the miller. " + "It then stood empty for years. " * 12
+    paragraph = "The mill was built beside the weir and worked until the war. " * 12 + "They use cookies to make the miller accept. " + "It then stood empty for years. " * 12
     assert not boilerplate.looks_like_furniture(paragraph)
 
 
