@@ -242,7 +242,7 @@ def test_long_notices_and_long_paragraphs():
 
 def test_unclosed_fence_hides_nothing():
     garbled = "Le cafÃ© est fermÃ© depuis l’Ã©tÃ© dernier"
-    model = encoding.fit_texts(["Le café est fermé depuis l’été dernier, dit la mairie du village."] * 50) if hasattr(encoding, "fit_texts") else None
-    assert encoding._blank_code("a `b` ```\nx\n``` c") == "a         \n \n    c"
+    text = "a `b` ```\nx\n``` c"
+    plain = encoding._blank_code(text)
+    assert len(plain) == len(text) and plain.split() == ["a", "c"] and plain.count("\n") == 2
     assert garbled in encoding._blank_code("# code\n```\nx = 1\n" + garbled)
-    assert model is None or encoding.Ungarbler(model).is_garbled("```\n" + garbled)
