@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellichor.plans import evidence, inventory, ledger
+from vellichor.plans import evidence, inventory, ledger, policy
 
-_THEMES = (ledger, inventory, evidence)
+_THEMES = (ledger, inventory, evidence, policy)
 
 
 def queries() -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.functions.text import WORDLESS, normalize, wordless_share
-from vellichor.session import spread
+from vellichor.operators.verify import beside_texts
 
 CONTEXT = 48
 LEAST_CHARS = 12
@@ -100,10 +100,9 @@ def _bind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def cite(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """Selectors of ``quotes (quote_id, document_id, quote)`` in ``texts (document_id, body)``; rejected quotes carry ``error``."""
-    pairs = quotes.select("quote_id", "document_id", "quote").join(texts.select("document_id", "body"), "document_id", "left")
-    slim = pairs.select(F.col("quote_id").cast("string").alias("quote_id"), "document_id", "quote", "body")
-    # quotes of one document follow each other, so that a task reduces its text once; a hot document still spreads over all tasks
-    return spread(slim, "quote_id").sortWithinPartitions("document_id").mapInPandas(_bind, SELECTOR)
+    pairs = beside_texts(quotes.select(F.col("quote_id").cast("string").alias("quote_id"), "document_id", "quote"), texts.select("document_id", "body"), "quote_id")
+    # the join leaves quotes of one document one behind the other, so that a task reduces its text once
+    return pairs.select("quote_id", "document_id", "quote", "body").mapInPandas(_bind, SELECTOR)
 
 
 def warnings(selectors: DataFrame) -> DataFrame:

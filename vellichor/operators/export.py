@@ -65,6 +65,16 @@ def robust_links(anchors: DataFrame, documents: DataFrame, versions: DataFrame)
     return rows.select("anchor_id", html.alias("html"), markdown.alias("markdown"))
 
 
+def bibtex_notes(anchors: DataFrame, documents: DataFrame, versions: DataFrame) -> DataFrame:
+    """``(anchor_id, note)``: a note field that names what was cited, its archived address and its day; signs that TeX reads are escaped once."""
+    rows = anchors.select("anchor_id", "document_id", F.col("created_version").alias("version_id"), "cited_url")
+    rows = rows.join(documents.select("document_id", "original_url"), "document_id").join(versions.select("version_id", "captured_at", "source", "source_uri"), "version_id")
+    href = F.coalesce(F.nullif("cited_url", F.lit("")), "original_url", F.lit(""))
+    escaped = lambda c: F.regexp_replace(c, r"([%#&_{}$])", r"\\$1")
+    note = F.concat(F.lit("note = {\\url{"), escaped(href), F.lit("}, archived at \\url{"), escaped(memento_uri()), F.lit("} on "), F.date_format("captured_at", "yyyy-MM-dd"), F.lit("}"))
+    return rows.select("anchor_id", note.alias("note"))
+
+
 def unified_diff(old: str | None, new: str | None, old_name: str, new_name: str, context: int = 3) -> str:
     """A unified diff that notes a missing newline at either end."""
     if context < 0:
@@ -88,6 +98,9 @@ def version_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
 
 
 def consecutive(versions: DataFrame) -> DataFrame:
-    """Each version beside the one observed before it in its document."""
+    """Each version beside the one observed before it in its document; the windows see ids, bodies join by id."""
     w = Window.partitionBy("document_id").orderBy("last_observed_seq", "version_id")
-    return versions.select("document_id", F.lag("version_id").over(w).alias("old_id"), F.col("version_id").alias("new_id"), F.lag("content_blob").over(w).alias("old_body"), F.col("content_blob").alias("new_body")).filter("old_id is not null")
+    pairs = versions.select("document_id", F.lag("version_id").over(w).alias("old_id"), F.col("version_id").alias("new_id")).filter("old_id is not null")
+    bodies = versions.select("version_id", "content_blob")
+    pairs = pairs.join(bodies.withColumnsRenamed({"version_id": "old_id", "content_blob": "old_body"}), "old_id")
+    return pairs.join(bodies.withColumnsRenamed({"version_id": "new_id", "content_blob": "new_body"}), "new_id").select("document_id", "old_id", "new_id", "old_body", "new_body")

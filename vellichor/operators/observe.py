@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellichor.session import cut_lineage
+
 
 def classify(observations: DataFrame) -> DataFrame:
     """Outcome, version key and ``raw_changed`` of each observation.
@@ -85,14 +87,20 @@ def merge_documents(versions: DataFrame, moves: DataFrame) -> DataFrame:
     return kept.withColumn("last_observed_seq", seq).drop("rank_", "is_source", "target_id")
 
 
-def terminal_urls(redirects: DataFrame, hops: int = 20) -> DataFrame:
-    """``(url, target)`` at the end of chains of permanent redirects ``(url, target)`` by pointer jumping; loops keep their last pointer."""
-    from vellichor.session import cut_lineage
+def terminal_urls(redirects: DataFrame) -> DataFrame:
+    """``(url, target)`` at the end of chains of permanent redirects ``(url, target)``, by pointer jumping until nothing moves.
 
-    links = redirects.filter("url <> target").dropDuplicates(["url"])
-    jumps = 1
-    while jumps < hops:
+    A URL whose chain runs in a circle has a null target. Of several targets of one
+    URL the least counts.
+    """
+    links = redirects.filter("url <> target").groupBy("url").agg(F.min("target").alias("target"))
+    total = links.count()
+    jumps, moved = 1, total > 0
+    while moved and jumps <= 2 * total:
         step = links.select(F.col("url").alias("target"), F.col("target").alias("further"))
-        links = cut_lineage(links.join(step, "target", "left").select("url", F.when(F.col("further") == F.col("url"), F.col("target")).otherwise(F.coalesce("further", "target")).alias("target")))
-        jumps *= 2
-    return links
+        links = cut_lineage(links.join(step, "target", "left").select("url", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
+        moved = not links.filter("moved").isEmpty()
+        links, jumps = links.select("url", "target"), 2 * jumps
+    known = redirects.filter("url <> target").select(F.col("url").alias("target"), F.lit(True).alias("goes_on")).distinct()
+    ends = links.join(known, "target", "left")
+    return ends.select("url", F.when(F.col("goes_on").isNull(), F.col("target")).alias("target"))

@@ -15,9 +15,26 @@ from vellichor.session import spread
 VERDICT = "anchor_id string, state string, match_score double, edit_distance int, found_offset int, found_text string, truncated boolean"
 
 
+#: Quotes that travel with one copy of their text.
+QUOTES_A_TEXT = 256
+
+
+def beside_texts(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Rows with ``document_id`` beside the texts of their documents, ``texts`` being ``(document_id, ..., body)``.
+
+    A document's rows are parted by the hash of ``key``, about ``QUOTES_A_TEXT`` to a
+    part, and a text is sent once to each part that needs it: neither a document with
+    most of the rows nor its text, copied for each of them, ends in one task.
+    """
+    parts = rows.groupBy("document_id").agg(F.ceil(F.count("*") / QUOTES_A_TEXT).cast("int").alias("parts_"))
+    wanted = texts.join(parts, "document_id").withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1))).drop("parts_")
+    own = rows.join(parts, "document_id").withColumn("part_", F.pmod(F.xxhash64(key), F.col("parts_")).cast("int")).drop("parts_")
+    return spread(own, "document_id", "part_").join(spread(wanted, "document_id", "part_").hint("merge"), ["document_id", "part_"], "left").drop("part_")
+
+
 def with_texts(anchors: DataFrame, texts: DataFrame) -> DataFrame:
     """Anchors beside the text of their document; ``texts`` is ``(document_id, version_id, body)``. Pairs meet by key, never by content."""
-    return anchors.select("anchor_id", "document_id", "exact", "prefix", "suffix", "position_hint").join(texts, "document_id", "left")
+    return beside_texts(anchors.select("anchor_id", "document_id", "exact", "prefix", "suffix", "position_hint"), texts, "anchor_id")
 
 
 def exact_stages(pairs: DataFrame) -> DataFrame:
@@ -44,12 +61,12 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verify(anchors: DataFrame, texts: DataFrame) -> DataFrame:
-    """A verdict per anchor. Only quotes that don't stand as written enter the kernel, salted over tasks as one document may hold most of them."""
+    """A verdict per anchor. Only quotes that don't stand as written enter the kernel, where their texts lie."""
     staged = exact_stages(with_texts(anchors, texts))
     done = staged.filter("state is not null").select(
         "anchor_id", "state", F.lit(1.0).alias("match_score"), F.lit(0).alias("edit_distance"), "found_offset", F.col("exact").alias("found_text"), F.lit(False).alias("truncated")
     )
-    open_ = spread(staged.filter("state is null").select("anchor_id", "exact", "prefix", "suffix", "position_hint", "body"), "anchor_id")
+    open_ = staged.filter("state is null").select("anchor_id", "exact", "prefix", "suffix", "position_hint", "body")
     return done.unionByName(open_.mapInPandas(_judge, VERDICT))
 
 

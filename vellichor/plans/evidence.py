@@ -22,8 +22,8 @@ OBSERVATIONS = """
 
 
 def _observations(spark: SparkSession, folder: str) -> DataFrame:
-    read_table(spark, folder, "events").createOrReplaceTempView("events")
-    return spark.sql(OBSERVATIONS.format(json="get_json_object(props, '$.k')").replace("VARCHAR", "STRING"))
+    sql = OBSERVATIONS.format(json="get_json_object(props, '$.k')").replace("VARCHAR", "STRING").replace("FROM events)", "FROM {events})")
+    return spark.sql(sql, events=read_table(spark, folder, "events"))
 
 
 def _documents(spark, folder, *columns):
@@ -123,7 +123,7 @@ def canonical_urls_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def script_density(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents", ["text"]).filter("text <> ''").select("document_id", F.round(text.script_density("text"), 6).alias("density"))
+    return read_table(spark, folder, "documents").filter("text <> ''").select("document_id", F.round(text.script_density("text"), 6).alias("density")).dropDuplicates(["document_id"])
 
 
 def normalized_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,9 +131,8 @@ def normalized_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    versions = load(spark, folder, "versions", ["text_hash", "content_blob"])
-    checked = versions.withColumn("agrees", text.text_hash("content_blob") == F.col("text_hash"))
-    return checked.groupBy("agrees").agg(F.count("*").alias("versions"))
+    checked = read_table(spark, folder, "versions").select("version_id", (text.text_hash("content_blob") == F.col("text_hash")).alias("agrees"))
+    return checked.dropDuplicates(["version_id"]).groupBy("agrees").agg(F.count("*").alias("versions"))
 
 
 QUERIES = [

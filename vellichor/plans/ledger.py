@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellichor.operators import ledger, stateful
+from vellichor.operators.inventory import host
 from vellichor.sources.tables import load
 
 LOG = "log AS (SELECT DISTINCT seq, document_id, url, requested_at, outcome, error_kind, http_status, bytes_down FROM fetch_log)"
@@ -49,7 +50,8 @@ def cache_hit_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rate_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return stateful.rate_violations(_log(spark, folder, "document_id"), rate=1 / 3600, burst=3.0)
+    log = _log(spark, folder, "url").filter("url is not null").withColumn("host", host())
+    return stateful.rate_violations(log, "host", rate=1 / 3600, burst=3.0)
 
 
 QUERIES = [ledger_by_outcome, ledger_buckets, ledger_daily, error_breakdown, recent_failures, bytes_saved, cache_hit_fold, rate_violations]
