@@ -246,3 +246,11 @@ def test_unclosed_fence_hides_nothing():
     plain = encoding._blank_code(text)
     assert len(plain) == len(text) and plain.split() == ["a", "c"] and plain.count("\n") == 2
     assert garbled in encoding._blank_code("# code\n```\nx = 1\n" + garbled)
+
+
+def test_windows_without_signs_hold_no_mention(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(pii_samples.sample(rng)[0] + " and nothing else was said about the mill that day." * rng.randrange(9) for _ in range(3)) for _ in range(120)]
+    found = pii.find_in_texts(texts)
+    monkeypatch.setattr(pii, "signs", lambda text: [(0, len(text))])
+    assert pii.find_in_texts(texts) == found and sum(map(len, found)) > 300

@@ -36,6 +36,41 @@ def _model() -> tagger.Tagger:
     return tagger.Tagger.load()
 
 
+_CAP = r"[A-ZÀ-ÖØ-ÞЀ-Я]"
+#: Signs without which no text can hold what the exact check lets pass: of five digits or more, of two parts of a name, of letters without known forms, and of an address that begins with a number.
+_SIGNS = [
+    re.compile(r"\+\d|\d(?:[\s().+/（）-]{0,3}[\dA-D]){4}"),
+    re.compile(rf"{_CAP}[\w’'ʼ-]*\.?,? (?:(?:van|von|de|del|da|di|der|den|du|la|le|ten|bin|al) )*{_CAP}"),
+    re.compile(r"[^\W\d_A-Za-zÀ-ɏЀ-ӿ가-힣一-鿿぀-ヿ]"),
+    re.compile(r"\d[A-Za-z]? [A-ZÀ-ÞЀ-Я]"),
+]
+#: Further signs, sought only where a text has one of the words they need: of mail, and of other addresses.
+_WORDED = [
+    (("@", "＠", "(at", "[at", "{at", "dot"), re.compile(r"[@＠]|[(\[{]at[)\]}]|\bdot\b|[\[(]dot")),
+    (
+        ("straße", "strasse", "str.", "weg ", "gasse", "platz", "allee", "ufer ", "damm ", "Am ", "An der ", "Auf der ", "Im ", "Zum ", "Zur "),
+        re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm) \d|\b(?:Am|An der|Auf der|Im|Zum|Zur) [A-ZÀ-ÞЀ-Я]"),
+    ),
+    (
+        ("rue", "chemin", "quai", "avenue", "place", "allée", "boulevard", "impasse", "cours", "route"),
+        re.compile(r"\d(?: (?:bis|ter))?,? (?:rue|chemin|quai|avenue|place|allée|boulevard|impasse|cours|route)\b"),
+    ),
+    (("Box", "calle", "Calle", "venida", "laza", "ul. ", "al. ", "pl. ", "ул.", "пр.", "пер."), re.compile(r"P\. ?O\. ?Box|[Cc]alle |[Aa]venida |[Pp]laza |\b(?:ul|al|pl)\. |(?:ул|пр|пер)\.")),
+]
+_EAST_SIGN = re.compile(r"씨|님|앞|さん|様|氏|先生|女士|签字|老师|담당|担当|係の|联系|由|致|寄给|받는 사람|[가-힣一-鿿぀-ヿ]\s?\(ID|[로길동] ?\d|\d-\d{1,3}-\d|[路街巷道弄]\d")
+
+
+def signs(text: str) -> list[tuple[int, int]]:
+    """Where a text may hold a mention, by signs that every mention that passes the exact check has."""
+    found = [m.span() for sign in _SIGNS for m in sign.finditer(text)]
+    for words, sign in _WORDED:
+        if any(w in text for w in words):
+            found += [m.span() for m in sign.finditer(text)]
+    if _EAST.search(text):
+        found += [m.span() for m in _EAST_SIGN.finditer(text)]
+    return sorted(found)
+
+
 def _whole_name(text: str, a: int, b: int, lead: float, named: list[Span]) -> tuple[int, int] | None:
     """The name a tagged run is, or none: the exact check of names.
 
@@ -108,9 +143,11 @@ def find_in_texts(texts: list[str | None], model: tagger.Tagger | None = None) -
     held = 0
     for i, text in enumerate([*texts, None]):
         if some and (i == len(texts) or held + len(text or "") > HELD_CHARS):  # texts of bounded size are tagged together
-            for j, tagged in zip(some, tagger.find_runs(model, [tagger.encode(texts[j]) for j in some])):
+            marks = [signs(texts[j]) for j in some]
+            marked = [k for k, m in enumerate(marks) if m]
+            for k, tagged in zip(marked, tagger.find_runs(model, [tagger.encode(texts[some[k]]) for k in marked], [marks[k] for k in marked]) if marked else []):
                 if tagged:
-                    out[j] = settle(texts[j], tagged)
+                    out[some[k]] = settle(texts[some[k]], tagged)
             some, held = [], 0
         if text:
             some.append(i)
