@@ -299,8 +299,24 @@ def tag_texts(model: Tagger, ids: list[np.ndarray], window: int = WINDOW, overla
 
 
 def find_runs(model: Tagger, ids: list[np.ndarray], marks: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int, str, float]]]:
-    """Tagged runs of whole texts, with the mean lead of their own tags over 'O'; with ``marks``, of what lies in windows that touch one."""
-    return [[(a, b, kind, float(leads[a:b].mean())) for a, b, kind in spans_of(tags)] for tags, leads in zip(*_tag(model, ids, WINDOW, OVERLAP, 512, marks))]
+    """Tagged runs of whole texts, with the mean lead of their own tags over 'O'.
+
+    With ``marks``, only of the windows that touch one; windows that follow each other are one stretch.
+    """
+    stretches: list[list[int]] = []
+    if marks is None:
+        stretches = [[i, 0, len(x)] for i, x in enumerate(ids)]
+    else:
+        for i, start in _touch(windows_of([len(x) for x in ids]), WINDOW, marks):
+            if stretches and stretches[-1][0] == i and start < stretches[-1][2]:
+                stretches[-1][2] = start + WINDOW
+            else:
+                stretches.append([i, start, start + WINDOW])
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in ids]
+    if stretches:
+        for (i, at, _), tags, leads in zip(stretches, *_tag(model, [ids[i][a:b] for i, a, b in stretches], WINDOW, OVERLAP, 512)):
+            out[i] += [(at + a, at + b, kind, float(leads[a:b].mean())) for a, b, kind in spans_of(tags)]
+    return out
 
 
 def _touch(places: list[tuple[int, int]], window: int, marks: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -310,7 +326,7 @@ def _touch(places: list[tuple[int, int]], window: int, marks: list[list[tuple[in
     return [(i, start) for i, start in places if (n := int(np.searchsorted(first[i], start + window))) and last[i][n - 1] > start]
 
 
-def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows: int, marks: list[list[tuple[int, int]]] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Tags of whole texts, and how much each character's tag leads over 'O'.
 
     Overlapping windows are scored side by side; each character takes its scores
@@ -325,10 +341,8 @@ def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows:
     column[order] = np.arange(len(ids))
     reach = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than a place
     begins = np.concatenate(([0], np.cumsum(reach)))
-    scores = np.full((len(TAGS), int(begins[-1])), -50.0, np.float32)
-    scores[0] = 0.0
-    places = windows_of(lengths.tolist(), window, overlap)
-    places = sorted(places if marks is None else _touch(places, window, marks), key=lambda p: min(window, int(lengths[p[0]]) - p[1]))
+    scores = np.empty((len(TAGS), int(begins[-1])), np.float32)
+    places = sorted(windows_of(lengths.tolist(), window, overlap), key=lambda p: min(window, int(lengths[p[0]]) - p[1]))
     for at in range(0, len(places), rows):
         part = places[at : at + rows]
         own = model.scores_of([ids[i][start : start + window] for i, start in part])
@@ -338,7 +352,8 @@ def _tag(model: Tagger, ids: list[np.ndarray], window: int, overlap: int, rows:
         inside = np.flatnonzero((place >= np.where(start > 0, overlap, 0)) & (place < last))
         spot = (begins[(place + start).ravel()[inside]] + np.broadcast_to(column[text], (len(place), len(part))).ravel()[inside]) if len(inside) else inside
         for k in range(len(TAGS)):
-            scores[k, spot] = own[k].take(inside) + model.p["b"][k]
+            scores[k, spot] = own[k].take(inside)
+    scores += model.p["b"][:, None]
     tags, leads = _packed_path(scores, begins.tolist(), model.p["A"])
     flat = [begins[:n] + c for n, c in zip(lengths.tolist(), column.tolist())]
     return [tags[f] for f in flat], [leads[f] for f in flat]
