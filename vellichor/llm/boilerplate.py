@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from vellichor.llm.encoding import readings
 from vellichor.llm.residue import ResidueModel, ResidueScorer, fit, fold
 
-# Words of menus, by language.
+# Own lists: words of menus, by language.
 MENU_WORDS = {
     "en": "home news about contact search login log in sign in sign up register subscribe help maps services weather archive topics jobs gallery events menu account shop sport opinion video photos podcasts newsletters settings",
     "de": "startseite nachrichten kontakt suche hilfe karten themen termine anmelden archiv über uns dienste wetter menü konto",
@@ -33,7 +33,7 @@ MENU_WORDS = {
     "ru": "главная новости о нас контакты поиск войти подписка помощь карты архив темы события погода меню",
 }
 HOME_WORDS = ["home", "startseite", "accueil", "홈", "ホーム", "首页", "главная"]
-# Patterns of furniture lines, by kind; matched from the start of folded lines in lower case.
+# Own lists: patterns of furniture lines, by kind; matched from the start of folded lines in lower case.
 FURNITURE = {
     "skip link": r"^(skip to (main )?content|zum inhalt springen|aller au contenu|본문 바로가기|本文へ(移動|スキップ)|跳到正文|跳至内容|перейти к содержан\w+|к содержанию)$",
     "top link": r"^(back to (the )?top|nach oben|zum seitenanfang|haut de (la )?page|retour en haut|맨 위로|ページの先頭へ|页首|返回顶部|наверх|вверх)\s*[↑▲^]?$",
@@ -56,7 +56,7 @@ FURNITURE = {
 }
 COOKIE_NOTICE = r"(cookie|クッキー|쿠키|файлы cookie).*(accept|agree|reject|refus|allow|ok\b|decline|continu|zustimm|akzeptier|ablehn|verwendung|einstellung|accord|tout|vous acceptez|허용|동의|설정|許可|同意|拒否|閉じる|接受|同意|知道了|拒绝|принять|соглаша|отклон|понятно)"
 RIGHTS_RESERVED = r"(all rights reserved|alle rechte vorbehalten|tous droits réservés|무단 ?전재|無断転載|版权所有|保留所有权利|все права защищены)\W*$"
-# Heads of teaser lists.
+# Own lists: heads of teaser lists.
 TEASER_HEADS = r"^(you may also like|you might also like|most read|most popular|popular (this week|now)|related (articles|stories|posts)|in this section|more from .{1,60}|recommended( for you)?|trending( now)?|verwandte (beiträge|artikel)|meistgelesen|mehr aus .{1,60}|das könnte sie.*|à lire aussi|les plus lus|plus (de|sur) .{1,60}|sur le même sujet|articles liés|관련 기사|많이 본 글|(.{1,40} )?더 보기|관련 글|関連記事|よく読まれている記事|おすすめ記事|.{1,30}の(記事一覧|話題)|.{1,40}のほかの記事|相关(阅读|文章)|热门(文章|阅读)|更多.{1,30}|.{1,30}更多内容|читайте также|популярное|самое читаемое|ещё .{1,60}|еще .{1,60}|другие материалы.*)\s*[:：]?$"  # noqa: E501
 
 _MENU = frozenset(fold(w) for words in MENU_WORDS.values() for w in words.split()) | {"über uns", "à propos", fold("о нас"), "log in", "sign in", "sign up"}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts that look like the Latin letter they stand beside.
+# Own list: letters of other scripts that look like the Latin letter they stand beside.
 LOOK_ALIKES = {
     "a": "аɑα", "c": "сϲⅽᴄ", "d": "ԁⅾ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іⅰι", "j": "јϳ", "l": "ⅼӏ", "m": "ⅿ",
     "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛզ", "s": "ѕꜱ", "u": "սᴜυ", "v": "νѵⅴᴠ", "w": "ԝաᴡ", "x": "хⅹ", "y": "уүγ", "z": "ᴢ",

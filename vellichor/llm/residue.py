@@ -42,7 +42,7 @@ CONTENT_LIMIT = 2.0  # a word of the corpus's own subject says less against a no
 RARE = 4.0  # tokens seen about this often weigh half
 MEMO_ENTRIES = 200_000
 
-# Phrases that make a short body a trusted error, script-notice or filler record.
+# Own lists: phrases that make a short body a trusted error, script-notice or filler record.
 TRUSTED_CUES = [
     # error messages
     "page not found", "not found on this server", "404 not found", "can’t be found", "can’t find the page", "no longer available", "has wandered off",
@@ -59,7 +59,7 @@ TRUSTED_CUES = [
     "lorem ipsum", "your text goes here", "sample paragraph", "sample heading", "add a short bio here", "hier steht ihr text", "votre texte ici",
     "ここに本文を入力", "여기에 내용을 입력", "在此输入", "введите текст", "asdf asdf", "test test test", "copy for the", "placeholder text",
 ]
-# The ways in which templates mark a place to fill.
+# Own lists: the ways in which templates mark a place to fill.
 MARKERS = [
     r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"<%[^%\n]{1,60}%>", r"\$\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]", r"<<[\w .]{1,60}>>",
     r"%%[A-Za-z_][\w.]*%%", r"\$\$[A-Za-z_][\w.]*\$\$", r"@@[A-Za-z_][\w.]*@@", r"__[A-Z][A-Z0-9_.]*?__", r"#[A-Z][A-Z0-9_.]+#",
