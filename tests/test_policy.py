@@ -107,3 +107,13 @@ def test_a_text_travels_once_for_many_quotes(spark):
 
 def test_command_lists_queries(capsys):
     assert command.main(["list"]) == 0 and "cache_stats" in capsys.readouterr().out
+
+
+def test_a_block_is_found_behind_many_like_it():
+    from vellichor.functions import html
+
+    head = "the same sixteen letters begin every paragraph of this page"
+    body = "\n\n".join(f"{head} and this one tells of mill number {i} by the weir" for i in range(150))
+    page = f"<p>{head} and this one tells of mill number 149 by the weir</p>"
+    found = html.measure(page, body)
+    assert found["captured_chars"] == found["prose_chars"] > 0 and found["dropped"] == {}

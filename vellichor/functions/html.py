@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -17,7 +18,6 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 LEAST_PROSE = 40
 LINK_SHARE = 0.30
 PROBE = 16
-SITES = 64
 
 _SKELETON = re.compile(r"[\s*_`~#|\\>-]+")
 
@@ -130,15 +130,17 @@ def measure(html: str | None, body: str | None) -> dict:
             continue
         prose += len(bones)
         head, tail = bones[:PROBE], bones[-PROBE:]
-        at, tries, hit = hay.find(head, resume.get(head, 0)), 0, None
-        while at >= 0 and tries < SITES:
+        at, hit = hay.find(head, resume.get(head, 0)), None
+        while at >= 0:
             end = hay.find(tail, max(at, at + len(bones) - 2 * PROBE), at + len(bones) + PROBE)
-            if end >= 0 and all(end + PROBE <= x or at >= y for x, y in taken):
-                hit = (at, end + PROBE)
-                break
-            at, tries = hay.find(head, at + 1), tries + 1
+            if end >= 0:
+                spot = bisect.bisect(taken, (at, len(hay)))  # stretches taken before this one and after it
+                if (not spot or taken[spot - 1][1] <= at) and (spot == len(taken) or taken[spot][0] >= end + PROBE):
+                    hit = (at, end + PROBE)
+                    break
+            at = hay.find(head, at + 1)
         if hit:
-            taken.append(hit)
+            bisect.insort(taken, hit)
             resume[head] = hit[1]
             captured += min(len(bones), hit[1] - hit[0])
         else:
