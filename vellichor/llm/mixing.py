@@ -82,25 +82,25 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
         if not open_at:
             break
         shift = HASH_BITS - DIGIT_BITS * (level + 1)
-        where = F.lit(False)
-        for source, (prefix, _) in open_at.items():
-            where = where | ((F.col("source") == source) & (F.shiftright("h", shift + DIGIT_BITS) == prefix))
-        digits: dict[str, dict[int, tuple[int, int]]] = {}
-        counted = sized.filter(where).groupBy("source", F.shiftright("h", shift).alias("digit")).agg(F.sum("n_tokens").alias("n"), F.approx_count_distinct("h").alias("k"))
+        spark = sized.sparkSession
+        edges = spark.createDataFrame([(source, prefix) for source, (prefix, _) in open_at.items()], "source string, prefix bigint")  # one row a target
+        inside = sized.withColumn("prefix", F.shiftright("h", shift + DIGIT_BITS).cast("bigint")).join(F.broadcast(edges), ["source", "prefix"])
+        digits: dict[str, dict[int, tuple[int, bool]]] = {}
+        counted = inside.groupBy("source", F.shiftright("h", shift).alias("digit")).agg(F.sum("n_tokens").alias("n"), (F.min("h") != F.max("h")).alias("several"))
         for r in counted.collect():
-            digits.setdefault(r.source, {})[r.digit] = (int(r.n or 0), r.k)
+            digits.setdefault(r.source, {})[r.digit] = (int(r.n or 0), r.several)
         still: dict[str, tuple[int, float]] = {}
         for source, (prefix, rest) in open_at.items():
             p = by_source[source]
             p.threshold = (prefix << DIGIT_BITS) << shift
             for digit in sorted(digits.get(source, {})):
-                tokens, keys = digits[source][digit]
+                tokens, several = digits[source][digit]
                 if tokens <= rest:
                     rest -= tokens
                     p.reached += tokens
                     p.threshold = (digit + 1) << shift
                     continue
-                if shift and keys > 1:
+                if shift and several:
                     p.threshold = digit << shift
                     still[source] = (digit, rest)
                 elif tokens - rest < rest:  # the boundary is one key: take it when that ends nearer to the budget
