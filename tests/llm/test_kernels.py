@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 import unicodedata
@@ -139,6 +140,46 @@ def test_neardup_parts():
     assert (neardup.unpack(neardup.pack(values)) == values).all()
 
 
+def test_neardup_block_in_rows_loses_no_pair():
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 40, 1 << neardup.BUCKET_BITS).astype(np.uint8)
+    bodies = []
+    for _ in range(40):
+        base = rng.choice(20000, int(rng.integers(60, 400)), replace=False)
+        for share in (0.0, 0.1, 0.2, 0.24, 0.3):
+            own = base.copy()
+            some = rng.choice(len(base), int(share * len(base)), replace=False)
+            own[some] = rng.integers(0, 20000, len(some))
+            bodies.append(np.sort(own[: max(50, int(rng.integers(len(own) * 3 // 4, len(own) + 1)))]).astype(np.uint32))
+    bodies.append(np.repeat(bodies[0], 2))  # a list may hold a body more than once
+    assert all((a == b).all() for a, b in zip(np.split(*(lambda v, at: (v, at[1:-1]))(*neardup.unpack_all([neardup.pack(b) for b in bodies]))), bodies))
+
+    def lists(i, need):
+        return neardup.pack(bodies[i][neardup._places(bodies[i], table) < len(bodies[i]) - need + neardup._extra(len(bodies[i]))])
+
+    def block(which):
+        rows, packed = {}, bytearray()
+        for i in which:
+            part = lists(i, int(np.ceil(0.6 * len(bodies[i]) - 1e-9)))
+            rows[i] = (len(bodies[i]), len(packed), len(packed) + len(part))
+            packed += part
+        found = neardup._Block(rows, packed, table, 0.6)
+        assert not packed
+        return found
+
+    def shared(x, y):
+        return sum((collections.Counter(bodies[x].tolist()) & collections.Counter(bodies[y].tolist())).values())
+
+    order = sorted(range(len(bodies)), key=lambda i: (len(bodies[i]), i))
+    true = {(min(x, y), max(x, y)) for k, x in enumerate(order) for y in order[k + 1 :] if shared(x, y) >= neardup._required(len(bodies[x]), len(bodies[y]), 0.6)}
+    found = {(min(p), max(p)) for x, y in block(order).within() for p in zip(x.tolist(), y.tolist())}
+    assert len(true) > 50 and true <= found and len(found) < len(bodies) ** 2 / 20
+    small, large = order[:100], order[100:]
+    probes = [(i, len(bodies[i]), lists(i, int(neardup._required(len(bodies[i]), len(bodies[i]), 0.6)))) for i in small]
+    across = {(min(p), max(p)) for x, y in block(large).probed(probes) for p in zip(x.tolist(), y.tolist())}
+    assert {p for p in true if len({*p} & {*small}) == 1} <= across
+
+
 def test_tagger_gradients_and_viterbi():
     model = tagger.Tagger.fresh(5, 2)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
